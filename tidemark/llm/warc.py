@@ -201,18 +201,17 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-ORACLE_SQL = """
-WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
-d AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS x FROM p),
-b AS (
-  SELECT page_id, payload_bytes, x, string_agg(
-    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + (
-      list_sum(list_transform(range(1, 6), j -> (instr('0123456789abcdef', substr(x, CAST(5 * i + j AS BIGINT), 1)) - 1) * CAST(pow(16, 5 - j) AS BIGINT)))
-      // CAST(pow(32, 3 - k) AS BIGINT)) % 32 AS BIGINT), 1), '' ORDER BY i, k) AS payload_digest
-  FROM d, range(0, 8) AS r(i), range(0, 4) AS s(k) GROUP BY page_id, payload_bytes, x),
-f AS (SELECT *, min(page_id) OVER (PARTITION BY x, payload_bytes) AS first FROM b)
+def _base32_sql(x: str) -> str:
+    """Base 32 of 40 hexadecimal digits: 20 bits at a time, four letters each."""
+    value = [f"CAST('0x' || substr({x}, {5 * i + 1}, 5) AS BIGINT)" for i in range(8)]
+    return " || ".join(f"substr('{_BASE32}', CAST(({v} >> {5 * k}) & 31 AS BIGINT) + 1, 1)" for v in value for k in (3, 2, 1, 0))
+
+
+ORACLE_SQL = f"""
+WITH d AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS x FROM pages),
+b AS (SELECT page_id, payload_bytes, {_base32_sql("x")} AS payload_digest, min(page_id) OVER (PARTITION BY x, payload_bytes) AS first FROM d)
 SELECT page_id, payload_bytes, payload_digest,
-  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = first OR first IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
-FROM f
+FROM b
 """
