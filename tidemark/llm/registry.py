@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from tidemark.llm import mixing, urlrules, warc
+from tidemark.llm import decontam, langid, mixing, tokencount, urlrules, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
+    "op3_decontaminate": decontam.query,
+    "op4_token_counts": tokencount.query,
+    "op6_language_id": langid.query,
     "op8_warc": warc.query,
     "op10_url_filter": urlrules.query,
 }
-ORACLE = {"op8_warc": warc.ORACLE_SQL}
+ORACLE = {
+    "op3_decontaminate": decontam.ORACLE_SQL,
+    "op8_warc": warc.ORACLE_SQL,
+}

@@ -1,7 +1,7 @@
 """URL filter: explicit host and path rules first, else association rules mined from labelled URLs.
 
 Mining: Spark's FP-growth finds combinations of URL tokens (host labels, path segments, query keys) that go with a label.
-Rules below `min_support` or `min_confidence` are pruned, then those implied by a shorter rule of the same label that is at
+Rules below `min_support` (a share, and `min_count` URLs) or `min_confidence` are pruned, then those implied by a shorter rule of the same label that is at
 least as confident; what remains is the model, at most `max_rules` of them (a model size, the most confident ones).
 Matching: an inverted index from each rule's rarest token; a URL looks up its own tokens only, and a rule fits if all its
 tokens are there. The most confident fitting rule decides; without one, `default` does.
@@ -61,12 +61,13 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(labels, segments, keys))
 
 
-def mine(labelled: DataFrame, *, min_support: float, min_confidence: float, max_rules: int) -> list[tuple[tuple[str, ...], str, float, float]]:
+def mine(labelled: DataFrame, *, min_support: float, min_count: int, min_confidence: float, max_rules: int) -> list[tuple[tuple[str, ...], str, float, float]]:
     """(tokens, label, confidence, support) of rules over labelled: tokens array, label string.  At most `max_rules`."""
     baskets = labelled.where("label is not null").select(F.array_union("tokens", F.array(F.concat(F.lit(LABEL), F.col("label")))).alias("items"))
-    if baskets.isEmpty():
+    n = baskets.count()
+    if n < min_count:
         return []
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
+    model = FPGrowth(itemsCol="items", minSupport=max(min_support, min_count / n), minConfidence=min_confidence).fit(baskets)
     found = model.associationRules.where(F.startswith(F.col("consequent")[0], F.lit(LABEL)) & ~F.exists("antecedent", lambda x: F.startswith(x, F.lit(LABEL))))
     best = found.select(F.array_sort("antecedent").alias("a"), F.substring(F.col("consequent")[0], len(LABEL) + 1, 1 << 20).alias("label"), "confidence", "support")
     best = best.orderBy(F.desc("confidence"), F.desc("support"), F.size("a"), "a", "label").limit(max_rules).collect()
@@ -112,6 +113,7 @@ def filter_urls(
     url_col: str = "url",
     rules: Sequence[tuple[str, str, str]] = RULES,
     min_support: float = 0.01,
+    min_count: int = 10,
     min_confidence: float = 0.8,
     max_rules: int = 10_000,
     default: str = "allow",
@@ -122,7 +124,7 @@ def filter_urls(
     parts = own.withColumn("host", host_of(url)).withColumn("path", path_of(url))
     parts = parts.withColumn("tokens", F.coalesce(tokens(url, F.col("host"), F.col("path")), F.array().cast("array<string>")))
     known = labels.select(F.col(f"`{id_col}`").alias("its"), "label")
-    model = mine(parts.join(known, F.col("id") == F.col("its")).select("tokens", "label"), min_support=min_support, min_confidence=min_confidence, max_rules=max_rules)
+    model = mine(parts.join(known, F.col("id") == F.col("its")).select("tokens", "label"), min_support=min_support, min_count=min_count, min_confidence=min_confidence, max_rules=max_rules)
     name, verdict = fitting_rule(F.col("host"), F.col("path"), rules)
     judged = parts.withColumn("rule", name).withColumn("by_rule", verdict).withColumn("mined", matcher(model, default)("tokens"))
     return judged.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("by_rule", "mined").alias("verdict"))

@@ -56,8 +56,8 @@ class Words(NamedTuple):
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def pieces(column: pa.Array | pa.ChunkedArray, chunk: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Runs of rows of about `chunk` bytes (a longer text stands alone): first row, row after the last, bytes, offsets. Null is empty."""
+def pieces(column: pa.Array | pa.ChunkedArray, chunk: int = CHUNK, rows: int = 1 << 30) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Runs of rows of about `chunk` bytes (a longer text stands alone) and `rows` rows at most: first row, row after the last, bytes, offsets. Null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.cast(pa.large_binary()) if not pa.types.is_large_binary(column.type) else column
@@ -72,7 +72,7 @@ def pieces(column: pa.Array | pa.ChunkedArray, chunk: int = CHUNK) -> Iterator[t
     i = 0
     while i < n:
         j = max(i + 1, int(np.searchsorted(at, at[i] + chunk, "right")) - 1)
-        j = min(j, n)
+        j = min(j, n, i + rows)
         yield i, j, raw[at[i] : at[j]], at[i : j + 1] - at[i]
         i = j
 
