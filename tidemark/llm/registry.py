@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontam, langid, mixing, tokencount, urlrules, warc
+from tidemark.llm import decontam, langid, mixing, secrets, tokencount, urlrules, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
+    "op2_secrets": secrets.query,
     "op3_decontaminate": decontam.query,
     "op4_token_counts": tokencount.query,
     "op6_language_id": langid.query,
@@ -13,6 +14,7 @@ QUERIES = {
     "op10_url_filter": urlrules.query,
 }
 ORACLE = {
+    "op2_secrets": secrets.query,
     "op3_decontaminate": decontam.ORACLE_SQL,
     "op8_warc": warc.ORACLE_SQL,
 }
