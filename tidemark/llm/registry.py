@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontam, langid, mixing, secrets, tokencount, urlrules, warc
+from tidemark.llm import decontam, jaccard, langid, mixing, secrets, tokencount, urlrules, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
     "op2_secrets": secrets.query,
     "op3_decontaminate": decontam.query,
     "op4_token_counts": tokencount.query,
+    "op5_jaccard_join": jaccard.query,
     "op6_language_id": langid.query,
     "op8_warc": warc.query,
     "op10_url_filter": urlrules.query,
