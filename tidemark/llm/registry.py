@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontam, jaccard, langid, mixing, secrets, tokencount, urlrules, warc
+from tidemark.llm import decontam, jaccard, langid, mixing, phrases, secrets, tokencount, urlrules, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
@@ -12,10 +12,12 @@ QUERIES = {
     "op5_jaccard_join": jaccard.query,
     "op6_language_id": langid.query,
     "op8_warc": warc.query,
+    "op9_substring_dedup": phrases.query,
     "op10_url_filter": urlrules.query,
 }
 ORACLE = {
     "op2_secrets": secrets.query,
     "op3_decontaminate": decontam.ORACLE_SQL,
     "op8_warc": warc.ORACLE_SQL,
+    "op9_substring_dedup": phrases.ORACLE_SQL,
 }
