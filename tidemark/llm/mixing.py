@@ -100,10 +100,10 @@ def mix_sources(
     max_epochs: float = MAX_EPOCHS,
     budget: float | None = None,
     seed: int = SEED,
-    keep: Sequence[str] = (),
+    carry: Sequence[str] = ("doc_id",),
 ) -> DataFrame:
-    """doc_id, [kept columns], size, source_size, target, copies, taken of every row of docs; `keep` are columns carried along."""
-    words = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), word_count(F.col(f"`{text_col}`")).alias("size"), *(F.col(f"`{c}`").alias(f"kept_{c}") for c in keep))
+    """row (the carried columns), size, source_size, target, copies, taken of every row of docs."""
+    words = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), word_count(F.col(f"`{text_col}`")).alias("size"), F.struct(*(F.col(f"`{c}`") for c in carry)).alias("row"))
     u = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("source"), F.col("size"))
     sizes = written(words.select("*", u.alias("u"), F.monotonically_increasing_id().alias("row_id")), "sizes")
     c1 = F.shiftrightunsigned("u", 64 - _CELLS).alias("c1")
@@ -142,9 +142,9 @@ def mix_sources(
     out = joined(sizes.withColumn("c1", c1).withColumn("c2", c2), limits, "left").join(more, "row_id", "left")
     once = F.when((F.col("c1") < F.col("b1")) | ((F.col("c1") == F.col("b1")) & (F.col("c2") < F.col("b2"))) | F.col("in_cell").isNotNull(), F.lit(1)).otherwise(F.lit(0))
     copies = (F.col("whole") + once).cast("long")
-    return out.select("doc_id", *(F.col(f"kept_{c}").alias(c) for c in keep if c != id_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return out.select("row", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mix_sources(docs).select("row.doc_id", "size", "source_size", "target", "taken")

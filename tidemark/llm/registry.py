@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontam, jaccard, langid, mixing, phrases, secrets, tokencount, urlrules, warc
+from tidemark.llm import ann, decontam, jaccard, langid, mixing, phrases, secrets, tokencount, urlrules, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_token_counts": tokencount.query,
     "op5_jaccard_join": jaccard.query,
     "op6_language_id": langid.query,
+    "op7_nearest": ann.query,
     "op8_warc": warc.query,
     "op9_substring_dedup": phrases.query,
     "op10_url_filter": urlrules.query,
