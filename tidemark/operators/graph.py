@@ -11,16 +11,17 @@ from tidemark.storage import written
 
 def _reach(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """node, f, b: the greatest node that reaches each, and the greatest that it reaches, along edges (a, b)."""
-    found = nodes.select("node", F.col("node").alias("f"), F.col("node").alias("b"))
+    found = nodes.select("node", F.col("node").alias("f"), F.col("node").alias("b"), F.lit(False).alias("moved"))
     while True:
-        come = edges.join(found.select(F.col("node").alias("a"), "f"), "a").groupBy(F.col("b").alias("node")).agg(F.max("f").alias("come"))
-        go = edges.join(found.select(F.col("node").alias("b"), F.col("b").alias("to")), "b").groupBy(F.col("a").alias("node")).agg(F.max("to").alias("go"))
-        both = found.join(come, "node", "left").join(go, "node", "left")
-        after = both.select("node", F.greatest("f", "come").alias("f"), F.greatest("b", "go").alias("b"), ((F.col("come") > F.col("f")) | (F.col("go") > F.col("b"))).alias("moved"))
-        after = written(after, "reach")
-        found = after.drop("moved")
-        if after.where("moved").isEmpty():
-            return found
+        for _ in range(3):  # steps between two written tables
+            come = edges.join(found.select(F.col("node").alias("a"), "f"), "a").groupBy(F.col("b").alias("node")).agg(F.max("f").alias("come"))
+            go = edges.join(found.select(F.col("node").alias("b"), F.col("b").alias("to")), "b").groupBy(F.col("a").alias("node")).agg(F.max("to").alias("go"))
+            both = found.join(come, "node", "left").join(go, "node", "left")
+            moved = F.coalesce(F.col("come") > F.col("f"), F.lit(False)) | F.coalesce(F.col("go") > F.col("b"), F.lit(False))
+            found = both.select("node", F.greatest("f", "come").alias("f"), F.greatest("b", "go").alias("b"), moved.alias("moved"))
+        found = written(found, "reach")
+        if found.where("moved").isEmpty():  # the last of the steps moved nothing
+            return found.drop("moved")
 
 
 def scc(edges: DataFrame) -> DataFrame:

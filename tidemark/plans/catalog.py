@@ -415,7 +415,7 @@ c AS (SELECT vec_id, unnest(e) / l AS x, unnest(range(1, 65)) AS i FROM u),
 w AS (SELECT t.tag_id, ln(((SELECT count(*) FROM posts WHERE NOT is_pending) + 10.0) / (post_count + 10.0)) AS idf FROM tags t),
 s AS (SELECT post_id, i, sum(x * idf) AS x FROM pairs JOIN w USING (tag_id) JOIN c ON vec_id = pairs.tag_id GROUP BY 1, 2),
 n AS (SELECT post_id, sqrt(sum(x * x)) AS l, max(CASE WHEN i = 1 THEN x END) AS first_, max(CASE WHEN i = 64 THEN x END) AS last_ FROM s GROUP BY post_id)
-SELECT CAST(id AS BIGINT) AS post_id, CASE WHEN l > 0 THEN 1.0 ELSE 0.0 END AS length, round(coalesce(first_ / l, 0.0), 6) AS first_component, round(coalesce(last_ / l, 0.0), 6) AS last_component
+SELECT CAST(id AS BIGINT) AS post_id, CAST(CASE WHEN l > 0 THEN 1 ELSE 0 END AS DOUBLE) AS length, round(coalesce(first_ / l, 0.0), 6) AS first_component, round(coalesce(last_ / l, 0.0), 6) AS last_component
 FROM posts LEFT JOIN n ON post_id = id WHERE NOT is_pending""")
 def post2vec_norms(spark: SparkSession, d: str) -> DataFrame:
     vecs = a.unit_vectors(spark, d).where("tag_id < 64")
