@@ -180,3 +180,12 @@ def test_manifest_and_fingerprint(spark):
     assert {(r["path"], r["change"]) for r in found} == {("b", "changed"), ("c", "removed"), ("d", "added")}
     x, y = spark.range(10), spark.range(10).orderBy(F.desc("id"))
     assert checks.fingerprint(x, "id").collect() == checks.fingerprint(y, "id").collect()
+
+
+def test_rows_and_report(spark):
+    rows = sinks.row_map(spark.range(5, 900, 7).repartition(5), "id")
+    assert checks.row_map_faults(rows).isEmpty()
+    assert [(r["row"], r["id"]) for r in rows.orderBy("row").collect()] == list(enumerate(range(5, 900, 7)))
+    assert not checks.row_map_faults(rows.where("row > 0")).isEmpty()
+    text, code = checks.report(checks.verdict(rows, "has rows", F.lit(0)).unionByName(checks.verdict(rows, "has none", F.count("*"))))
+    assert code == 1 and "FAIL  has none: 128" in text

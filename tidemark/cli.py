@@ -157,6 +157,7 @@ def tag2vec(spark: SparkSession, c: Config) -> None:
 def post2vec(spark: SparkSession, c: Config) -> None:
     found = vectors.post2vec(tables.read_post_tags(spark, _at(c, "post_tags")), _read(spark, c, "posts_parquet"), _read(spark, c, "tag2vec"), c.tag2vec_dim, _stats_if_any(spark, c), c.reliable_only)
     _put(c, "post2vec", found.withColumn("vec", F.col("vec").cast("array<float>")))
+    _put(c, "post2vec_rows", sinks.row_map(_read(spark, c, "post2vec"), "post_id"))
 
 
 def run(spark: SparkSession, config: Config, names: list[str]) -> dict[str, str]:

@@ -8,10 +8,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.codec import INDEX_RECORD, encode
+from tidemark.storage import written
 
 
 def write_posts(posts: DataFrame, path: str) -> None:
@@ -98,6 +99,15 @@ def export_arrays(columns: DataFrame, folder: str, types: dict[str, str]) -> int
     return n
 
 
+def row_map(df: DataFrame, id_col: str) -> DataFrame:
+    """row, id: consecutive rows from 0 in the order of the id, from a range-partitioned sort and the partitions' counts."""
+    placed = df.select(F.col(id_col)).repartitionByRange(id_col).sortWithinPartitions(id_col)
+    placed = written(placed.select(id_col, F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("n")), "rows")
+    before = placed.groupBy("part").agg(F.count("*").alias("count"))  # a row for each partition
+    before = before.select("part", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return placed.join(F.broadcast(before), "part").select((F.col("before") + F.col("n")).alias("row"), id_col)
+
+
 def write_metadata(path: str, **found: object) -> None:
     with open(path, "w") as f:
         json.dump(found, f, indent=1, default=float)
