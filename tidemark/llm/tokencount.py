@@ -2,7 +2,7 @@
 
 Offline, each vocabulary string that is a pre-token of its own is encoded alone; those that give one token are the proven
 ones.  A text is cut into pre-tokens by the tokenizer's public pattern; proven pre-tokens count one without any merging,
-all others are merged by the library, each distinct one once per batch, and remembered up to a bound.  Also offline, the
+all others are merged by the library's model, and remembered up to a bound.  Also offline, the
 pattern's character classes are compared with the library's own for every assigned code point; a text with a code point on
 which they differ (or an unassigned one), or with the string of an added token, is encoded by the library as a whole, so the
 counts are the library's.
@@ -65,19 +65,29 @@ def proof(path: str, pattern: str) -> tuple[frozenset[str], str, tuple[str, ...]
     return proven, ranges, tuple(t.content for t in tokenizer.get_added_tokens_decoder().values())
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: printable ones stand for themselves."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    other = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
+
+
 class Counter:
     def __init__(self, path: str, pattern: str, proven: frozenset[str], differ: str, added: tuple[str, ...]) -> None:
         self.tokenizer, self.cut = _load(path), regex.compile(pattern)
+        self.letters = str.maketrans({chr(b): c for b, c in byte_letters().items()})
         self.added = added
         self.differ = re.compile(f"[{differ}]") if differ else None
+        self.alike: dict[str, bool] = {}  # by character: whether it is cut as the library does
         self.base = dict.fromkeys(proven, 1)
         self.cost = dict(self.base)
 
     def _sum(self, found: list[str]) -> int:
         cost = self.cost
         if new := list(set(found).difference(cost)):
-            counts = [len(e.ids) for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
-            cost.update(zip(new, counts, strict=True))
+            merge = self.tokenizer.model.tokenize
+            for x in new:
+                cost[x] = len(merge(x.encode().decode("latin-1").translate(self.letters)))
         total = sum(map(cost.__getitem__, found))
         for x in new:
             if len(x) > _SHORT:
@@ -86,8 +96,19 @@ class Counter:
             self.cost = dict(self.base)
         return total
 
+    def _cut_alike(self, text: str) -> bool:
+        if self.differ is None or text.isascii():
+            return True
+        alike = self.alike
+        for c in set(text):
+            if c not in alike:
+                alike[c] = not self.differ.match(c)
+            if not alike[c]:
+                return False
+        return True
+
     def count(self, text: str) -> int:
-        if any(x in text for x in self.added) or (self.differ and not text.isascii() and self.differ.search(text)):
+        if any(x in text for x in self.added) or not self._cut_alike(text):
             return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
         if len(text) <= _SLICE:
             return self._sum(self.cut.findall(text))
@@ -97,6 +118,16 @@ class Counter:
         return total
 
 
+_COUNTERS: dict[tuple[str, str], Counter] = {}
+
+
+def _counter(path: str, pattern: str, *proof_: object) -> Counter:
+    """One counter for all tasks of a worker process."""
+    if (path, pattern) not in _COUNTERS:
+        _COUNTERS[path, pattern] = Counter(path, pattern, *proof_)
+    return _COUNTERS[path, pattern]
+
+
 def count_tokens(docs: DataFrame, *, text_col: str = "text", carry: Sequence[str] = ("doc_id",), path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """row (the carried columns), n_bytes, n_tokens.  path: a byte-level BPE vocabulary of the tokenizers library whose
     pre-tokenizer cuts by `pattern`."""
@@ -104,7 +135,7 @@ def count_tokens(docs: DataFrame, *, text_col: str = "text", carry: Sequence[str
     model = docs.sparkSession.sparkContext.broadcast((path, pattern, *proof(path, pattern)))
 
     def make():
-        count = Counter(*model.value).count
+        count = _counter(*model.value).count
         return lambda texts: [pa.array([0 if t is None else len(t) for t in texts.cast(pa.binary()).to_pylist()], pa.int64()), pa.array([count(t) if t else 0 for t in texts.to_pylist()], pa.int64())]
 
     return map_texts(docs, text_col, carry, make, "n_bytes long, n_tokens long")
