@@ -8,7 +8,7 @@
    shingles are shuffled once and streamed in order: up to SMALL sets that share one are paired if size and position
    allow it.  Where more share one, each is paired with the first CENTRES, the sets of fewest rare shingles.
 4. Candidates must also have common prefix shingles in the other orders.  Only those that do are verified, on whole sets;
-   pairs are dealt out by their connected group, in blocks of a bounded number of pairs, so sets move about once.
+   pairs are dealt out by their neighbourhood, in jobs of a bounded number of pairs, so sets move about once.
 5. Where many sets share a prefix shingle, the pairs that are not yet in one connected group are taken as well, and pass
    4 again: no link between different groups is lost, and links within a group need not be listed.
 
@@ -41,8 +41,8 @@ BLOCK, OFTEN = 1 << 22, 4
 FREQUENT = 1 << 18
 #: pairs, and so at most twice as many sets, that are verified in one group
 PAIRS = 2000
-#: the texts of up to so many candidate sets are picked by a broadcast of their row keys, of more by a shuffled join
-BROADCAST_ROWS = 1_000_000
+#: lists of up to so many candidate sets (to pick their texts, or to deal them to jobs) are broadcast, longer ones are joined by a shuffle
+BROADCAST_ROWS = 500_000
 _SEEDS = odd(3, 41)  # of the orders
 _PAIR = "a binary, b binary"
 
@@ -287,14 +287,27 @@ def _similar(rule: Rule):
     return of
 
 
-def _judged(pairs: DataFrame, sets: DataFrame, columns: Sequence[str], judge) -> DataFrame:
-    """Pairs that judge keeps; each group of up to PAIRS pairs gets its sets once."""
-    root = components(pairs)
-    grouped = pairs.join(root.withColumnRenamed("node", "a"), "a")
+def _neighbourhood(pairs: DataFrame) -> DataFrame:
+    """node, root: the least set next to the least set next to each (or itself).  Sets that belong together mostly agree on
+    it; where they don't, a set is sent to more than one job."""
+    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")), "near")
+    far = near.select(F.col("node").alias("root"), F.col("root").alias("far"))
+    return near.join(far, "root").select("node", F.col("far").alias("root"))
+
+
+def _judged(pairs: DataFrame, bring, columns: Sequence[str], judge) -> DataFrame:
+    """Pairs that judge keeps.  Those of a neighbourhood are dealt to jobs of about PAIRS pairs; bring(sigs, columns) makes
+    the sets' columns from the texts, and they move once, to their jobs."""
+    root = written(_neighbourhood(pairs), "roots")
+    of_a, of_b = (root.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
+    grouped = written(pairs.join(of_a, "a").join(of_b, "b").select("a", "b", F.least("root_a", "root_b").alias("root")), "grouped")
     size = grouped.groupBy("root").agg(F.ceil(F.count("*") / PAIRS).alias("blocks"))
-    dealt = written(grouped.join(size, "root").select("a", "b", F.xxhash64("root", F.pmod(F.xxhash64("a", "b"), "blocks")).alias("job")), "jobs")
+    dealt = written(grouped.join(size, "root").select("a", "b", F.xxhash64("root", F.pmod(F.xxhash64("a"), "blocks")).alias("job")), "jobs")
     wanted = dealt.select("job", F.col("a").alias("sig")).unionByName(dealt.select("job", F.col("b").alias("sig"))).distinct()
-    brought = wanted.join(sets.select("sig", *columns), "sig")
+    wanted = written(wanted, "wanted")
+    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    brought = bring(wanted.select("sig"), columns).join(few, "sig").select("job", "sig", *columns)
     return written(dealt.withColumnRenamed("job", "its_job").groupBy("its_job").cogroup(brought.groupBy("job")).applyInPandas(lambda p, s: judge(p, s), _PAIR), "kept")
 
 
@@ -329,8 +342,11 @@ class Join:
         pairs = written(streamed.where("b is not null").select("a", "b").distinct(), "pairs")
         crowded = streamed.where("b is null").select("token", F.col("a").alias("sig"), "n", "place")
 
-        sets = self._sets(docs, id_col, text, key, pairs.select(F.explode(F.array("a", "b")).alias("sig")).unionByName(crowded.select("sig")), words, rule)
-        links = self._verified(pairs, sets, rule)
+        def bring(sigs: DataFrame, columns: Sequence[str]) -> DataFrame:
+            return self._sets(docs.select(key.alias("key"), text), sigs, columns, words, rule)
+
+        self._bring = bring
+        links = self._verified(pairs, rule)
         groups = components(links)
         rooted = crowded.join(groups.withColumnRenamed("node", "sig"), "sig", "left").select("token", "sig", "n", "place", F.coalesce("root", "sig").alias("root"))
         split_ = rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
@@ -338,33 +354,40 @@ class Join:
         more = more.mapInArrow(lambda rows: _across(rows, rule), _PAIR).distinct().join(pairs, ["a", "b"], "left_anti")
         more = written(more, "more-pairs")
         if not more.isEmpty():
-            found = self._verified(more, sets, rule)
+            found = self._verified(more, rule)
             links = written(links.unionByName(found), "links")
             groups = components(links)
         self.links, self.groups = links, groups
 
-    def _sets(self, docs: DataFrame, id_col: str, text: F.Column, key: F.Column, sigs: DataFrame, words: int, rule: Rule) -> DataFrame:
-        """sig, whole and the other orders' prefixes of the sets in sigs, each from the text of one row of its class."""
+    def _sets(self, texts: DataFrame, sigs: DataFrame, columns: Sequence[str], words: int, rule: Rule) -> DataFrame:
+        """sig and columns of the sets in sigs, from the text of one row of each class: `whole`, or the other orders'
+        prefixes `second` and `third`.  Of equal rows a task makes the columns once."""
         rep = self.rows.where("sig is not null").groupBy("sig").agg(F.min("key").alias("key"))
-        wanted = written(rep.join(sigs.distinct(), "sig", "left_semi").select("key").distinct(), "wanted")
-        picked = docs.select(key.alias("key"), text)
+        wanted = written(rep.join(sigs.distinct(), "sig", "left_semi").select("key").distinct(), "wanted-keys")
         wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-        picked = picked.join(wanted, "key", "left_semi")
+        made = {"whole": lambda s: s, "second": lambda s: ordered(s, 1, s[:0])[0][: rule.prefix(len(s))], "third": lambda s: ordered(s, 2, s[:0])[0][: rule.prefix(len(s))]}
+
+        def make():
+            seen: set[bytes] = set()
 
-        def of(texts: pa.Array) -> list[pa.Array]:
-            columns: list[list] = [[], [], [], []]
-            for s in _texts(texts, words):
-                p = rule.prefix(len(s))
-                for c, v in zip(columns, (signature(s), s.tobytes(), ordered(s, 1, s[:0])[0][:p].tobytes(), ordered(s, 2, s[:0])[0][:p].tobytes()), strict=True):
-                    c.append(v)
-            return [pa.array(c, pa.binary()) for c in columns]
+            def of(batch: pa.Array) -> list[pa.Array]:
+                out: list[list] = [[] for _ in range(1 + len(columns))]
+                for s in _texts(batch, words):
+                    sig = signature(s)
+                    values = [None] * len(out) if sig in seen else [sig, *(made[c](s).tobytes() for c in columns)]
+                    seen.add(sig)
+                    for column, value in zip(out, values, strict=True):
+                        column.append(value)
+                return [pa.array(c, pa.binary()) for c in out]
 
-        found = map_texts(picked, "text", ["key"], lambda: of, "sig binary, whole binary, second binary, third binary")
-        return written(found.drop("row").dropDuplicates(["sig"]), "sets")
+            return of
 
-    def _verified(self, pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-        sharing = _judged(pairs, sets, ["second", "third"], _sharing(rule, ["second", "third"]))
-        return _judged(sharing, sets, ["whole"], _similar(rule))
+        found = map_texts(texts.join(wanted, "key", "left_semi"), "text", ["key"], make, ", ".join(f"{c} binary" for c in ["sig", *columns]))
+        return found.where("sig is not null").drop("row")
+
+    def _verified(self, pairs: DataFrame, rule: Rule) -> DataFrame:
+        sharing = _judged(pairs, self._bring, ["second", "third"], _sharing(rule, ["second", "third"]))
+        return _judged(sharing, self._bring, ["whole"], _similar(rule))
 
     def classes(self) -> DataFrame:
         """sig, root (of the class's group) and component_id (the least id of the group)."""
@@ -391,3 +414,18 @@ class Join:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = Join(spark.read.parquet(f"{sf_dir}/documents.parquet")).result()
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, p, p + 2), ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS p FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM pairs JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 90 * (p.n + q.n - c)),
+r(v, u) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.v, links.y FROM r JOIN links ON links.x = r.u)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, CAST(least AS BIGINT) AS component_id
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT v, min(u) AS least FROM r GROUP BY v) c ON c.v = d.doc_id
+"""
