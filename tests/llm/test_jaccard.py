@@ -67,3 +67,21 @@ def test_pairs_across_batches_and_groups():
     rule = jaccard.Rule(90, 100)
     assert rule.prefix(100) == 11 and rule.need(100, 100) == 95
     assert rule.alone(8) and not rule.alone(9) and not rule.alone(10)
+
+
+def test_one_of_each_group_stays(spark):
+    rows = corpus(3)
+    df = spark.createDataFrame([(d, t, "clash", "clash") for d, t in rows], SCHEMA).repartition(3)
+    kept = jaccard.Join(df).kept()
+    assert kept.columns == df.columns
+    empty = sum(1 for _, n, _ in brute(rows) if not n)
+    with_words = {c for _, n, c in brute(rows) if n}
+    assert kept.count() == len(with_words) + empty
+    assert {str(r["doc_id"]) for r in kept.collect()} >= with_words - {"None"}
+
+
+def test_other_shingles_and_thresholds(spark):
+    rows = corpus(4)
+    df = spark.createDataFrame([(d, t, "clash", "clash") for d, t in rows], SCHEMA).repartition(2)
+    out = jaccard.Join(df, words=5, num=80, den=100).result().select("id", "n_shingles", "component_id").collect()
+    assert sorted((str(r[0]), r[1], str(r[2])) for r in out) == brute(rows, 5, 80, 100)

@@ -331,8 +331,9 @@ class Join:
             arrow = pa.schema([("r", first.schema.field(0).type), ("n", pa.int64()), ("sig", pa.binary()), ("token", pa.int64()), ("often", pa.int64())])
             yield from _signed(chain([first], batches), words, arrow)
 
-        table = written(own.mapInArrow(signed, schema).withColumn("rid", F.monotonically_increasing_id()), "signatures")
-        self.rows = table.where("r is not null").select("r.row", "r.id", "r.key", "n", "sig", "rid")
+        table = written(own.mapInArrow(signed, schema), "signatures")
+        self.rows = table.where("r is not null").select("r.row", "r.id", "r.key", "n", "sig")
+        self._keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), key.alias("key"))
         often = table.where("token is not null").groupBy("token").agg(F.sum("often").alias("often")).orderBy(F.desc("often"), "token").limit(FREQUENT)
         frequent = spark.sparkContext.broadcast(np.sort(np.array([r["token"] for r in often.select("token").collect()], np.int64).view(np.uint64)))
 
@@ -397,13 +398,21 @@ class Join:
         return rooted.join(least, "root").select("sig", "root", "component_id")
 
     def kept(self) -> DataFrame:
-        """The carried columns of one row of each group, that of the least id; all rows whose set is empty stay."""
-        slim = self.rows.select("rid", "id", "sig").where("sig is not null").join(self.classes().select("sig", "root"), "sig")
-        slim = written(slim.select("root", "rid", "id"), "grouped")
-        best = slim.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "rid")).alias("best")).select("root", "best.rid")
-        gone = written(slim.join(best, ["root", "rid"], "left_anti").select("rid"), "gone")
-        gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-        return self.rows.join(gone, "rid", "left_anti").select("row.*")
+        """The rows of docs, with all their columns, less all but one of each group: the one of the least id stays.  All rows
+        whose set is empty stay.  Texts aren't moved: rows go by the keys of those that leave."""
+        slim = self.rows.select("id", "key", "sig").where("sig is not null").join(self.classes().select("sig", "root"), "sig")
+        slim = written(slim.groupBy("root", "id", "key").agg(F.count("*").alias("n")), "grouped")
+        best = slim.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("best")).select("root", "best.key")
+        gone = self._listed(slim.join(best, ["root", "key"], "left_anti").select("key").distinct(), "gone")
+        twice = self._listed(slim.where("n > 1").join(best, ["root", "key"], "left_semi").select("key").distinct(), "twice")
+        left = self._keyed.join(gone, "key", "left_anti")
+        once = left.join(twice, "key", "left_anti").unionByName(left.join(twice, "key", "left_semi").dropDuplicates(["key"]))
+        return once.select("row.*")
+
+    @staticmethod
+    def _listed(keys: DataFrame, label: str) -> DataFrame:
+        keys = written(keys, label)
+        return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
 
     def result(self) -> DataFrame:
         """row (the carried columns), id, n_shingles, component_id of every row."""

@@ -17,8 +17,8 @@ QUERIES = {
     "op10_url_filter": urlrules.query,
 }
 ORACLE = {
-    "op2_secrets": secrets.query,
     "op3_decontaminate": decontam.ORACLE_SQL,
+    "op5_jaccard_join": jaccard.ORACLE_SQL,
     "op8_warc": warc.ORACLE_SQL,
     "op9_substring_dedup": phrases.ORACLE_SQL,
 }
