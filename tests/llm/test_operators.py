@@ -70,6 +70,21 @@ def test_mixing(spark):
     assert sorted((str(x["doc_id"]), x["taken"]) for x in again) == sorted((str(x["doc_id"]), x["taken"]) for x in out)
 
 
+@pytest.mark.parametrize("few", [100_000, 20])
+def test_mixing_fills_behind_a_long_document(spark, monkeypatch, few):
+    monkeypatch.setattr(mixing, "_FEW", few, raising=False)
+    r = random.Random(9)
+    lengths = {s: [r.randrange(100, 401) for _ in range(150)] + [40_000] for s in "abcdef"} | {"z": [30_000] * 20}
+    rows = [(i, "w " * n, "en", s) for i, (s, n) in enumerate((s, n) for s, ns in lengths.items() for n in ns)]
+    for seed in (1, 2, 3):
+        out = mixing.mix_sources(documents(spark, rows), weights=(1.0,), budget=90_000.0, seed=seed, carry=["source"]).select("row.source", "size", "target", "copies", "taken").collect()
+        for s in "abcdef":
+            own = [x for x in out if x["source"] == s]
+            lack = own[0]["target"] - sum(x["taken"] for x in own)
+            least = min(x["size"] for x in own if not x["copies"])
+            assert 0 < own[0]["target"] < 13_000 and abs(lack) <= least / 2, (seed, s, lack)
+
+
 def test_mixing_nothing(spark):
     assert mixing.mix_sources(documents(spark, [])).count() == 0
     assert [r["taken"] for r in mixing.mix_sources(documents(spark, [(1, None), (2, "")])).collect()] == [0, 0]

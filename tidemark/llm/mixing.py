@@ -4,9 +4,11 @@ Targets: weight * level, clamped at `max_epochs` times the source's size; the le
 up to the budget, found by raising it over the unclamped sources until no further source is clamped.
 
 Repetitions: a source with target e * size takes every document floor(e) times, and one more time a seeded sample whose
-sizes add up to the fraction.  The sample is the documents of least seeded hash; its limit is found from two histograms of
-the hash (4096 cells each), so no source's documents are ever sorted or gathered in one place, only those of one cell in
-16 million.  What is then missing, less than one document, is filled from a few documents of each size class.
+sizes add up to the fraction.  The sample takes documents in the order of a seeded hash; one larger than what is left is set
+aside and the next ones are tried, so it ends when every document left is larger than what lacks; one more is taken if that
+brings the sum nearer.  Where the prefix by hash stops is found from two histograms of the hash (4096 cells each), so no
+source's documents are ever sorted or gathered in one place, only those of one cell in 16 million.  The step is repeated on
+the documents after the stop that still fit, until none or at most `_FEW` remain, which are tried one by one.
 
 Defined results: null text has size 0; a null source is a source of its own, the last; a source of size 0 has target 0;
 repeated rows and null ids are documents like others; empty tables give empty results; other columns are not read.
@@ -27,7 +29,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3.0
 SEED = 20240229
 _CELLS = 12  # bits of each histogram
-_LADDER = 4  # documents of a size class that may fill the remainder
+_FEW = 100_000  # documents that are tried one by one instead of by another pair of histograms
 
 
 def word_count(text) -> F.Column:
@@ -74,20 +76,58 @@ def _limit(cells: DataFrame, goal: str, cell: str, out: str) -> DataFrame:
     return first.select("source", F.col(f"x.{cell}").alias(out), F.col("x.under").alias("under"))
 
 
-def _fill_up(rows: pd.DataFrame) -> pd.DataFrame:
-    """Of at most a few hundred documents of one source, larger ones first, those that still fit; then one that oversteps by less than what lacks."""
-    rows = rows.sort_values(["size", "u", "row_id"], ascending=[False, True, True])
-    left, out, over = float(rows["left"].iloc[0]) if len(rows) else 0.0, [], []
+def _joined(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
+    return left.join(right.withColumnRenamed("source", "its"), F.col("source").eqNullSafe(F.col("its")), how).drop("its")
+
+
+def _stops(rows: DataFrame, goals: DataFrame) -> DataFrame:
+    """source, stop, left: the first document by hash that the goal does not cover, and what is left of the goal before it.
+
+    rows: source, size, at, whose order is the hash's; goals: source, goal.  A source that its goal wholly covers has no row."""
+    rows = rows.select("source", "size", "at", F.col("at.c1").alias("c1"), F.col("at.c2").alias("c2"))
+    hist1 = written(rows.groupBy("source", "c1").agg(F.sum("size").alias("words")), "cells")
+    at1 = _joined(_limit(_joined(hist1, goals), "goal", "c1", "b1"), goals).select("source", "b1", (F.col("goal") - F.col("under")).alias("goal1"))
+    at1 = written(at1, "limit1")
+    hist2 = _joined(rows, at1).where("c1 = b1").groupBy("source", "c2", "goal1").agg(F.sum("size").alias("words"))
+    at2 = _joined(_limit(hist2, "goal1", "c2", "b2"), at1).select("source", "b1", "b2", (F.col("goal1") - F.col("under")).alias("goal2"))
+    inside2 = _joined(rows, written(at2, "limit2")).where("c1 = b1 and c2 = b2")
+    upto = inside2.withColumn("upto", F.sum("size").over(Window.partitionBy("source").orderBy("at"))).where("upto > goal2")
+    first = upto.groupBy("source").agg(F.min(F.struct("at", (F.col("goal2") - F.col("upto") + F.col("size")).alias("left"))).alias("x"))
+    return written(first.select("source", F.col("x.at").alias("stop"), F.col("x.left").alias("left")), "stops")
+
+
+def _first_fit(rows: pd.DataFrame) -> pd.DataFrame:
+    """Of at most `_FEW` documents of one source, in the order of the hash, those that still fit."""
+    rows = rows.sort_values(["c1", "c2", "u", "row_id"])
+    left, out = float(rows["left"].iloc[0]) if len(rows) else 0.0, []
     for row_id, size in zip(rows["row_id"], rows["size"], strict=True):
         if size <= left:
             left -= size
-            out.append(row_id)
+            out.append((row_id, size))
+    return pd.DataFrame(out, columns=["row_id", "size"]).astype("int64").assign(source=rows["source"].iloc[0] if len(rows) else None)
+
+
+def _later(slim: DataFrame, stops: DataFrame) -> DataFrame:
+    """source, row_id, size of the documents after the stops that are taken: those that fit, by hash, when they are reached.
+
+    What was set aside is larger than what is left from then on, so the size alone keeps it out."""
+    rest = _joined(slim.where("size > 0"), stops).where("at > stop and size <= left").drop("stop")
+    out = None
+    while True:
+        rest = written(rest, "rest")
+        few = rest.count() <= _FEW
+        if few:
+            flat = rest.select("source", "size", "left", "at.*")
+            found = flat.groupBy("source").applyInPandas(_first_fit, flat.select("row_id", "size", "source").schema)
         else:
-            over.append((size, row_id))
-    over = [x for x in over if x[0] - left < left]
-    if over:  # one more brings the sum nearer than none
-        out.append(min(over)[1])
-    return pd.DataFrame({"row_id": pd.Series(out, dtype="int64")})
+            stops = _stops(rest, rest.select("source", F.col("left").alias("goal")).distinct())
+            reached = _joined(rest.drop("left"), stops, "left")
+            found = reached.where("stop is null or at < stop").select("at.row_id", "size", "source")
+            rest = reached.where("at > stop and size <= left").drop("stop")
+        found = written(found.select("source", "row_id", "size"), "later")
+        out = found if out is None else out.unionByName(found)
+        if few:
+            return out
 
 
 def mix_sources(
@@ -108,39 +148,27 @@ def mix_sources(
     sizes = written(words.select("*", u.alias("u"), F.monotonically_increasing_id().alias("row_id")), "sizes")
     c1 = F.shiftrightunsigned("u", 64 - _CELLS).alias("c1")
     c2 = F.shiftrightunsigned("u", 64 - 2 * _CELLS).bitwiseAND(F.lit((1 << _CELLS) - 1)).alias("c2")
-    slim = sizes.select("source", "size", "u", "row_id", c1, c2)
+    at = F.struct(c1, c2, "u", "row_id").alias("at")
+    slim = sizes.select("source", "size", at)
 
     by_source = fill(ranked_sources(slim, weights), max_epochs, budget)
     epochs = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(epochs + F.lit(1e-9))
     by_source = by_source.withColumn("whole", whole).withColumn("goal", F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0)))
 
-    def joined(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
-        return left.join(right.withColumnRenamed("source", "its"), F.col("source").eqNullSafe(F.col("its")), how).drop("its")
-
     by_source = written(by_source, "targets")
-    goals = by_source.where("goal > 0").select("source", "goal")
-    hist1 = written(slim.groupBy("source", "c1").agg(F.sum("size").alias("words")), "cells")
-    at1 = joined(_limit(joined(hist1, goals), "goal", "c1", "b1"), goals).select("source", "b1", (F.col("goal") - F.col("under")).alias("goal1"))
-    at1 = written(at1, "limit1")
-    inside1 = joined(slim, at1).where("c1 = b1")
-    hist2 = inside1.groupBy("source", "c2", "goal1").agg(F.sum("size").alias("words"))
-    at2 = joined(_limit(hist2, "goal1", "c2", "b2"), at1).select("source", "b1", "b2", (F.col("goal1") - F.col("under")).alias("goal2"))
-    at2 = written(at2, "limit2")
-    inside2 = joined(slim, at2).where("c1 = b1 and c2 = b2")
-    upto = F.sum("size").over(Window.partitionBy("source").orderBy("u", "row_id"))
-    last = written(inside2.withColumn("upto", upto).where("upto <= goal2").select("source", "row_id", "size", "goal2"), "cell")
-    in_last = last.select("row_id", F.lit(1).alias("in_cell"))
-
-    left = joined(at2, last.groupBy("source").agg(F.sum("size").alias("used")), "left").select("source", "b1", "b2", (F.col("goal2") - F.coalesce(F.col("used"), F.lit(0))).alias("left"))
-    rest = joined(slim.where("size > 0"), left).where("size < 2 * left and (c1 > b1 or (c1 = b1 and c2 >= b2))").join(in_last, "row_id", "left_anti")
-    ladder = rest.withColumn("rung", F.floor(F.log2(F.col("size")))).withColumn("n", F.row_number().over(Window.partitionBy("source", "rung").orderBy("u", "row_id"))).where(F.col("n") <= _LADDER)
-    extra = ladder.groupBy("source").applyInPandas(_fill_up, "row_id long").select("row_id", F.lit(1).alias("in_cell"))
-    more = written(in_last.unionByName(extra), "extra")
-
-    limits = joined(by_source, at2.select("source", "b1", "b2"), "left")
-    out = joined(sizes.withColumn("c1", c1).withColumn("c2", c2), limits, "left").join(more, "row_id", "left")
-    once = F.when((F.col("c1") < F.col("b1")) | ((F.col("c1") == F.col("b1")) & (F.col("c2") < F.col("b2"))) | F.col("in_cell").isNotNull(), F.lit(1)).otherwise(F.lit(0))
+    stops = _stops(slim, by_source.where("goal > 0").select("source", "goal"))
+    later = _later(slim, stops)
+    used = later.groupBy("source").agg(F.sum("size").alias("used"))
+    lack = _joined(stops, used, "left").select("source", "stop", (F.col("left") - F.coalesce("used", F.lit(0))).alias("lack"))
+    over = _joined(slim.where("size > 0"), lack).where("at >= stop and size < 2 * lack").select("source", "size", "at", F.col("at.row_id").alias("row_id"))
+    over = over.join(later.select("row_id"), "row_id", "left_anti")  # all larger than what lacks: one more brings the sum nearer than none
+    over = over.groupBy("source").agg(F.min(F.struct("size", "at")).alias("x")).select("x.at.row_id")
+    more = written(later.select("row_id").unionByName(over).withColumn("more", F.lit(1)), "extra")
+
+    limits = _joined(by_source, stops.select("source", "stop"), "left")
+    out = _joined(sizes.withColumn("at", at), limits, "left").join(more, "row_id", "left")
+    once = F.when((F.col("at") < F.col("stop")) | F.col("more").isNotNull(), F.lit(1)).otherwise(F.lit(0))
     copies = (F.col("whole") + once).cast("long")
     return out.select("row", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
