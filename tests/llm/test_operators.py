@@ -250,6 +250,24 @@ def test_neighbours(spark):
     assert ann.nearest(df.limit(0), F.col("id") == 0).isEmpty()
 
 
+def test_neighbours_in_a_crowd_of_near_copies(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 32))
+    x[:1000] = x[0] + 1e-3 * rng.normal(size=(1000, 32))
+    rows = [(i, [float(v) for v in x[i]]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    got = {}
+    for r in ann.nearest(df, F.col("id") % 20 == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    hits = {True: [], False: []}
+    for q, found in got.items():
+        s = unit @ unit[q]
+        s[q] = -9
+        hits[q < 1000].append(len(found & set(np.argsort(-s)[:5].tolist())) / 5)
+    assert len(got) == 150 and np.mean(hits[True]) >= 0.99 and np.mean(hits[False]) >= 0.99, (np.mean(hits[True]), np.mean(hits[False]))
+
+
 # archives
 
 

@@ -5,8 +5,10 @@ score-aware loss: the part of the residual parallel to the vector, which changes
 `eta` times the orthogonal part.  They are fitted on a bounded sample of `max_sample` vectors (those of least hash).
 
 Every row is coded.  Queries come in blocks of `query_block`, each broadcast; a task scans its rows' codes against the
-queries' tables of block scores (rounded to 8 bits, summed as integers), keeps the best `rerank` of the rows it has, and
-scores those exactly in double precision on the original vectors.  The best k of each task meet in a bounded aggregate.
+queries' tables of block scores (rounded to 8 bits, summed as integers), and scores the best `rerank` of the rows it has
+exactly in double precision on the original vectors.  A quantised score is off by no more than the length of the row's
+residual and the rounding of the tables; rows that can still reach the k-th exact score by this bound are scored exactly
+too, however many there are, so crowds of near copies lose nothing.  The best k of each task meet in a bounded aggregate.
 Of equal vectors in a task only the k + 1 of smallest id are scanned, since the others lose every tie.
 
 Defined results: null, zero, empty vectors and ones with null or non-finite components take no part, nor do rows without an
@@ -58,6 +60,11 @@ class Quantiser:
                 total = rest + along[at, b, codes[:, b]]
         return codes.astype(np.uint8)
 
+    def residual(self, x: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Lengths of what the codes miss of unit vectors: no inner product with a unit vector is off by more."""
+        coded = self.books[np.arange(len(self.books)), codes].reshape(len(x), -1)
+        return np.sqrt(((x - coded) ** 2).sum(1))
+
 
 def fit(sample: np.ndarray, weight: float, rounds: int = 6, seed: int = 3) -> Quantiser:
     """Codebooks by alternating score-aware codes and weighted least squares, block by block."""
@@ -97,6 +104,10 @@ def _matrix(column: pa.Array, dims: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
 
 
+_SLACK = 1e-6  # more than what float32 and float64 sums can be off
+_PAIRS = 1 << 16  # exact scores computed at once
+
+
 _FOUND = "query_id long, vec_id long, score double"
 
 
@@ -112,7 +123,6 @@ def _search(batches: Iterator[pa.RecordBatch], quantiser: Quantiser, ids: np.nda
     best = np.full((len(ids), k), -np.inf)
 
     def scan(vec_ids: np.ndarray, vectors: np.ndarray) -> None:
-        nonlocal best, best_ids
         order = np.lexsort((vec_ids,))
         vec_ids, vectors = vec_ids[order], vectors[order]
         _, same = np.unique(vectors, axis=0, return_inverse=True)
@@ -123,21 +133,51 @@ def _search(batches: Iterator[pa.RecordBatch], quantiser: Quantiser, ids: np.nda
         rank[by] = np.arange(len(same)) - np.repeat(start, np.diff(np.append(start, len(same))))
         keep = rank <= k
         vec_ids, vectors = vec_ids[keep], vectors[keep]
-        codes = quantiser.encode(_unit(vectors))
+        unit = _unit(vectors)
+        codes = quantiser.encode(unit)
+        # in units of step, how far a sum of rounded table entries can be below the inner product
+        off = ((quantiser.residual(unit, codes) + _SLACK) / step + blocks / 2).astype(np.float32)
         length = np.sqrt((vectors * vectors).sum(1))
         take = min(rerank, len(vec_ids))
         one = np.zeros((len(vec_ids), blocks * WORDS), np.float32)
         one[np.arange(len(vec_ids))[:, None], np.arange(blocks) * WORDS + codes] = 1
+
+        def score(q: np.ndarray, r: np.ndarray) -> np.ndarray:
+            exact = np.einsum("pd,pd->p", vectors[r], queries[q]) / (length[r] * norms[q])
+            exact[vec_ids[r] == ids[q]] = -np.inf
+            return exact
+
+        def merge(at: int, n: int, new_ids: np.ndarray, new: np.ndarray) -> None:
+            all_ids = np.concatenate([best_ids[at : at + n], new_ids], 1)
+            all_scores = np.concatenate([best[at : at + n], new], 1)
+            order = np.lexsort((all_ids, -all_scores), axis=1)[:, :k]
+            best_ids[at : at + n] = np.take_along_axis(all_ids, order, 1)
+            best[at : at + n] = np.take_along_axis(all_scores, order, 1)
+
         for at in range(0, len(ids), 256):
             about = tables[at : at + 256] @ one.T  # sums of looked-up table entries
-            picked = np.argpartition(-about, take - 1, axis=1)[:, :take] if take < len(vec_ids) else np.tile(np.arange(len(vec_ids)), (len(about), 1))
-            exact = np.einsum("qcd,qd->qc", vectors[picked], queries[at : at + 256]) / (length[picked] * norms[at : at + 256, None])
-            exact[vec_ids[picked] == ids[at : at + 256, None]] = -np.inf
-            all_ids = np.concatenate([best_ids[at : at + 256], vec_ids[picked]], 1)
-            all_scores = np.concatenate([best[at : at + 256], exact], 1)
-            order = np.lexsort((all_ids, -all_scores), axis=1)[:, :k]
-            best_ids[at : at + 256] = np.take_along_axis(all_ids, order, 1)
-            best[at : at + 256] = np.take_along_axis(all_scores, order, 1)
+            n = len(about)
+            picked = np.argpartition(-about, take - 1, axis=1)[:, :take] if take < len(vec_ids) else np.tile(np.arange(len(vec_ids)), (n, 1))
+            merge(at, n, vec_ids[picked], score(np.repeat(np.arange(at, at + n), take), picked.ravel()).reshape(n, take))
+            if take == len(vec_ids):
+                continue
+            floor = best[at : at + n, -1] - _SLACK
+            np.put_along_axis(about, picked, -np.inf, 1)
+            could = (about + off >= (floor / step).astype(np.float32)[:, None]) & np.isfinite(about)
+            rows_ = np.flatnonzero(could.any(0))
+            # one product over the rows that any of these queries may need, then the few pairs that reach the floor
+            near = (units[at : at + n] @ unit[rows_].T >= floor[:, None]) & could[:, rows_]
+            q, r = np.nonzero(near)
+            for low in range(0, len(q), _PAIRS):
+                here, its = q[low : low + _PAIRS], rows_[r[low : low + _PAIRS]]
+                exact = score(here + at, its)
+                order = np.lexsort((vec_ids[its], -exact, here))
+                here, its, exact = here[order], its[order], exact[order]
+                place = np.arange(len(here)) - np.searchsorted(here, here)
+                ok = place < k
+                new_ids, new = np.full((n, k), np.iinfo(np.int64).max), np.full((n, k), -np.inf)
+                new_ids[here[ok], place[ok]], new[here[ok], place[ok]] = vec_ids[its[ok]], exact[ok]
+                merge(at, n, new_ids, new)
 
     held_ids, held_vectors, held = [], [], 0
     for batch in batches:
