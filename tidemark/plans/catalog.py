@@ -89,8 +89,13 @@ orbit(l, at_, i) AS (SELECT DISTINCT at_, at_, 0 FROM land UNION ALL SELECT l, s
 best AS (SELECT l, at_ AS b FROM (SELECT l, o.at_, row_number() OVER (PARTITION BY l ORDER BY coalesce(n, -1) DESC, 't' || o.at_) AS r FROM (SELECT DISTINCT l, at_ FROM orbit) o LEFT JOIN names ON names.x = o.at_) WHERE r = 1)"""
 
 
-def _names(spark: SparkSession, d: str, limit: int) -> DataFrame:
-    return a.fine_tags(spark, d).where(F.col("tag_id") < limit)
+# The SQL of these four is bounded to few ids, since recursive SQL over all of part is too slow; their queries keep to it.  The
+# ones named _whole run over all of part, and are checked against brute force instead of SQL.
+
+
+def _names(spark: SparkSession, d: str, limit: int | None = None) -> DataFrame:
+    names = a.fine_tags(spark, d)
+    return names if limit is None else names.where(F.col("tag_id") < limit)
 
 
 def _pairs(names: DataFrame, to: F.Column) -> DataFrame:
@@ -102,8 +107,17 @@ def _pairs(names: DataFrame, to: F.Column) -> DataFrame:
     f"WITH RECURSIVE {_WALK} SELECT 't' || x AS tag, 't' || at_ AS canon FROM stop UNION ALL SELECT 't' || x, 't' || b FROM land JOIN best ON l = at_",
 )
 def alias_functional_graph(spark: SparkSession, d: str) -> DataFrame:
-    names = _names(spark, d, 97)
-    return aliases.alias_map(names, _pairs(names, (F.col("tag_id") * F.col("tag_id") + 1) % 97))
+    return _functional_graph(_names(spark, d, 97))
+
+
+@register("alias_functional_graph_whole")
+def alias_functional_graph_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _functional_graph(_names(spark, d))
+
+
+def _functional_graph(names: DataFrame) -> DataFrame:
+    x = F.col("tag_id").cast("long") % 97  # the square of an id may not fit
+    return aliases.alias_map(names, _pairs(names, (x * x + 1) % 97))
 
 
 @register(
@@ -114,7 +128,15 @@ best AS (SELECT b, x AS best FROM (SELECT b, x, row_number() OVER (PARTITION BY
 SELECT 't' || x AS tag, 't' || best AS canon FROM n JOIN best USING (b) JOIN full_ USING (b)""",
 )
 def alias_canonical_cycle(spark: SparkSession, d: str) -> DataFrame:
-    names = _names(spark, d, 1400)
+    return _canonical_cycle(_names(spark, d, 1400))
+
+
+@register("alias_canonical_cycle_whole")
+def alias_canonical_cycle_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _canonical_cycle(_names(spark, d))
+
+
+def _canonical_cycle(names: DataFrame) -> DataFrame:
     block = F.floor(F.col("tag_id") / 7)
     whole = names.groupBy(block.alias("b")).agg(F.count("*").alias("n")).where("n = 7").select("b")
     names = names.withColumn("b", block).join(whole, "b").drop("b")
@@ -128,8 +150,9 @@ nodes AS (SELECT a AS v FROM e UNION SELECT b FROM e),
 comp AS (SELECT v, coalesce((SELECT max(r.b) FROM reach r JOIN reach s ON s.a = r.b AND s.b = r.a WHERE r.a = v), v) AS c FROM nodes)"""
 
 
-def _cyclic_edges(spark: SparkSession, d: str) -> DataFrame:
-    x = a.table(spark, d, "part").select(F.col("p_partkey").alias("x")).where("x between 1 and 255")
+def _cyclic_edges(spark: SparkSession, d: str, last: int | None = None) -> DataFrame:
+    x = a.table(spark, d, "part").select(F.col("p_partkey").alias("x")).where("x >= 1")  # the edge of 0 leads to itself
+    x = x if last is None else x.where(F.col("x") <= last)
     up = x.select(F.col("x").alias("a"), F.floor(F.col("x") / 2).alias("b"))
     down = x.where("x % 10 = 0").select(F.floor(F.col("x") / 2).alias("a"), F.col("x").alias("b"))
     return up.unionByName(down).distinct()
@@ -137,13 +160,27 @@ def _cyclic_edges(spark: SparkSession, d: str) -> DataFrame:
 
 @register("scc", f"WITH RECURSIVE {_CYCLIC} SELECT CAST(v AS BIGINT) AS node, CAST(greatest(c, v) AS BIGINT) AS comp FROM comp")
 def scc(spark: SparkSession, d: str) -> DataFrame:
+    return graph.scc(_cyclic_edges(spark, d, 255))
+
+
+@register("scc_whole")
+def scc_whole(spark: SparkSession, d: str) -> DataFrame:
     return graph.scc(_cyclic_edges(spark, d))
 
 
 @register("implication_dag", f"WITH RECURSIVE {_CYCLIC} SELECT CAST(a AS BIGINT) AS a_id, CAST(b AS BIGINT) AS b_id FROM e JOIN comp p ON p.v = a JOIN comp q ON q.v = b WHERE greatest(p.c, p.v) <> greatest(q.c, q.v)")
 def implication_dag(spark: SparkSession, d: str) -> DataFrame:
+    return _acyclic(spark, d, _cyclic_edges(spark, d, 255))
+
+
+@register("implication_dag_whole")
+def implication_dag_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _acyclic(spark, d, _cyclic_edges(spark, d))
+
+
+def _acyclic(spark: SparkSession, d: str, edges: DataFrame) -> DataFrame:
     name = lambda c: F.concat(F.lit("t"), F.col(c).cast("string"))
-    rows = _cyclic_edges(spark, d).select(name("a").alias("antecedent_name"), name("b").alias("consequent_name"), F.lit("active").alias("status"))
+    rows = edges.select(name("a").alias("antecedent_name"), name("b").alias("consequent_name"), F.lit("active").alias("status"))
     return graph.implication_dag(rows, a.fine_tags(spark, d), spark.createDataFrame([], "tag string, canon string"))
 
 
