@@ -375,3 +375,22 @@ def test_mined_rules(spark):
     labels = pages.where("page_id < 150").select("page_id", F.when(F.col("page_id") % 4 == 1, "block").when(F.col("page_id") % 7 == 0, F.lit(None)).otherwise("allow").alias("label"))
     out = {r["page_id"]: r["verdict"] for r in urlrules.filter_urls(pages, labels, rules=()).collect()}
     assert out == {i: "block" if i % 4 == 1 else "allow" for i in range(200)}
+
+
+def test_rules_of_a_small_host_in_a_large_table(spark):
+    rows = [(i, f"http://{'rare' if i < 12 else 'many'}.example.org/{'r' if i < 12 else 'm'}") for i in range(1600)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = pages.select("page_id", F.when(F.col("page_id") < 11, "block").when(F.col("page_id") > 11, "allow").alias("label"))
+    out = {r["page_id"]: r["verdict"] for r in urlrules.filter_urls(pages, labels, rules=()).collect()}
+    assert out == {i: "block" if i < 12 else "allow" for i in range(1600)}
+
+
+@pytest.mark.parametrize("noise", [False, True])
+def test_rules_behind_a_host_of_many_shared_tokens(spark, noise):
+    shared = [f"p{x}" for x in "abcdefghijklmn"]
+    urls = [("/".join(x for j, x in enumerate(shared) if not noise or i >= 14 or j != i), "allow") for i in range(60)]
+    urls += [("spam", "block" if i % 9 else "allow") for i in range(45)] + [("spam", None)] * 3
+    pages = spark.createDataFrame([(i, f"http://h{'ot' if v == 'allow' and u != 'spam' else 'am'}/{u}/") for i, (u, v) in enumerate(urls)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, v) for i, (_, v) in enumerate(urls)], "page_id long, label string")
+    out = {r["page_id"]: r["verdict"] for r in urlrules.filter_urls(pages, labels, rules=()).collect()}
+    assert out == {i: "block" if u == "spam" else "allow" for i, (u, _) in enumerate(urls)}

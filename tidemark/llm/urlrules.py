@@ -1,10 +1,12 @@
 """URL filter: explicit host and path rules first, else association rules mined from labelled URLs.
 
 Mining: Spark's FP-growth finds combinations of URL tokens (host labels, path segments, query keys) that go with a label.
-Rules below `min_support` (a share, and `min_count` URLs) or `min_confidence` are pruned, then those implied by a shorter rule of the same label that is at
-least as confident; what remains is the model, at most `max_rules` of them (a model size, the most confident ones).
-Matching: an inverted index from each rule's rarest token; a URL looks up its own tokens only, and a rule fits if all its
-tokens are there. The most confident fitting rule decides; without one, `default` does.
+Tokens that occur in the same labelled URLs are one item, any of which stands for all: a combination of them says no more than
+one alone, and fourteen of them would have 16,000 combinations.  Rules of fewer than `min_count` URLs or below `min_confidence`
+are no rules, however large the table; those are pruned that are implied by a rule of the same label, one item shorter and at
+least as confident, which also decides wherever they would.  What remains is the model, without a limit.
+Matching: each rule is listed under its rarest item; a URL is joined with the rules of its own items only, and a rule fits if
+all its items are there.  The most confident fitting rule decides; without one, `default` does.
 
 Defined results: a null URL, or one without `://`, has empty host and path, fits no explicit rule and gets the default; a
 null label is no label; without labelled rows there are no mined rules; repeated rows are judged alike; extra columns are
@@ -13,14 +15,14 @@ not read; empty tables give empty results.
 
 from __future__ import annotations
 
-from collections import defaultdict
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.store import written
+
 #: (verdict, host, path)
 RULES = (
     ("allow", "com", "/"),
@@ -61,48 +63,42 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(labels, segments, keys))
 
 
-def mine(labelled: DataFrame, *, min_support: float, min_count: int, min_confidence: float, max_rules: int) -> list[tuple[tuple[str, ...], str, float, float]]:
-    """(tokens, label, confidence, support) of rules over labelled: tokens array, label string.  At most `max_rules`."""
-    baskets = labelled.where("label is not null").select(F.array_union("tokens", F.array(F.concat(F.lit(LABEL), F.col("label")))).alias("items"))
+def mine(labelled: DataFrame, *, min_count: int, min_confidence: float) -> tuple[DataFrame, DataFrame] | None:
+    """token, item of the tokens in `min_count` URLs or more; and a, label, confidence, freq of the pruned rules, a: their items.
+
+    labelled: tokens array, label string."""
+    known = written(labelled.where("label is not null").select("tokens", "label", F.monotonically_increasing_id().alias("row")), "labelled")
+    each = known.select("row", "label", F.explode("tokens").alias("token"))
+    marks = [F.bit_xor(F.xxhash64(F.lit(i), "row")).alias(f"m{i}") for i in (1, 2)]  # of the set of URLs a token is in
+    often = each.groupBy("token").agg(F.count("*").alias("n"), *marks).where(F.col("n") >= min_count)
+    members = written(often.select("token", F.min("token").over(Window.partitionBy("n", "m1", "m2")).alias("item")), "members")
+    baskets = each.join(members, "token").groupBy("row", "label").agg(F.collect_set("item").alias("items"))
+    baskets = written(baskets.select(F.array_append("items", F.concat(F.lit(LABEL), "label")).alias("items")), "baskets")
     n = baskets.count()
-    if n < min_count:
-        return []
-    model = FPGrowth(itemsCol="items", minSupport=max(min_support, min_count / n), minConfidence=min_confidence).fit(baskets)
-    found = model.associationRules.where(F.startswith(F.col("consequent")[0], F.lit(LABEL)) & ~F.exists("antecedent", lambda x: F.startswith(x, F.lit(LABEL))))
-    best = found.select(F.array_sort("antecedent").alias("a"), F.substring(F.col("consequent")[0], len(LABEL) + 1, 1 << 20).alias("label"), "confidence", "support")
-    best = best.orderBy(F.desc("confidence"), F.desc("support"), F.size("a"), "a", "label").limit(max_rules).collect()
-    kept: list[tuple[tuple[str, ...], str, float, float]] = []
-    of: dict[tuple[frozenset[str], str], float] = {}
-    for r in sorted(best, key=lambda r: (len(r["a"]), r["a"], r["label"])):
-        a = frozenset(r["a"])
-        if not any(of.get((a - {t}, r["label"]), -1.0) >= r["confidence"] for t in a):
-            kept.append((tuple(r["a"]), r["label"], r["confidence"], r["support"]))
-        of[(a, r["label"])] = max(r["confidence"], *(of.get((a - {t}, r["label"]), 0.0) for t in a))
-    return sorted(kept, key=lambda r: (-r[2], -r[3], len(r[0]), r[0], r[1]))
-
-
-def matcher(rules: list[tuple[tuple[str, ...], str, float, float]], default: str):
-    """A pandas UDF from tokens to the verdict of the first rule of `rules` that fits."""
-    often: dict[str, int] = defaultdict(int)
-    for a, *_ in rules:
-        for t in a:
-            often[t] += 1
-    index: dict[str, list[tuple[int, frozenset[str], str]]] = defaultdict(list)
-    for n, (a, label, *_) in enumerate(rules):
-        index[min(a, key=lambda t: (often[t], t))].append((n, frozenset(a), label))
-    index = dict(index)
-
-    @F.pandas_udf("string")
-    def judge(rows: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in rows:
-            out = []
-            for found in batch:
-                have = frozenset(found)
-                fits = [(n, label) for t in have for n, a, label in index.get(t, ()) if a <= have]
-                out.append(min(fits)[1] if fits else default)
-            yield pd.Series(out, dtype="object")
-
-    return judge
+    if not n:
+        return None
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_count - 0.5, 0.5) / n)).fit(baskets)  # rounds up to min_count
+    sets = written(model.freqItemsets.select(F.array_sort("items").alias("items"), "freq"), "itemsets")
+    is_label = lambda x: F.startswith(x, F.lit(LABEL))
+    alone = sets.where(~F.exists("items", is_label)).select(F.col("items").alias("a"), F.col("freq").alias("all"))
+    both = sets.where(F.exists("items", is_label)).select(F.filter("items", lambda x: ~is_label(x)).alias("a"), F.filter("items", is_label)[0].alias("label"), "freq")
+    rules = both.join(alone, "a").select("a", F.substring("label", len(LABEL) + 1, 1 << 20).alias("label"), (F.col("freq") / F.col("all")).alias("confidence"), "freq")
+    rules = written(rules.where(F.col("confidence") >= min_confidence), "rules")
+    shorter = rules.select("a", "label", "confidence", F.explode("a").alias("x")).select(F.col("a").alias("whole"), F.array_remove("a", F.col("x")).alias("a"), "label", F.col("confidence").alias("its"))
+    implied = shorter.join(rules, ["a", "label"]).where("confidence >= its").select(F.col("whole").alias("a"), "label")
+    return members, written(rules.join(implied, ["a", "label"], "left_anti"), "model")
+
+
+def judged_by(sets: DataFrame, members: DataFrame, rules: DataFrame) -> DataFrame:
+    """tokens, mined of the distinct token arrays of `sets` that a rule fits: the verdict of the first that does."""
+    items = rules.select("a", "label", F.explode("a").alias("item"))
+    often = items.groupBy("item").agg(F.count("*").alias("n"))
+    rarest = items.join(often, "item").groupBy("a", "label").agg(F.min(F.struct("n", "item"))["item"].alias("item"))
+    first = F.struct((-F.col("confidence")).alias("c"), (-F.col("freq")).alias("f"), F.size("a").alias("n"), "a", "label").alias("first")
+    listed = written(rules.join(rarest, ["a", "label"]).select("item", "a", first), "index")
+    have = sets.distinct().select("tokens", F.explode("tokens").alias("token")).join(members, "token").groupBy("tokens").agg(F.collect_set("item").alias("have"))
+    fits = have.select("tokens", "have", F.explode("have").alias("item")).join(listed, "item").where(F.size(F.array_except("a", "have")) == 0)
+    return fits.groupBy("tokens").agg(F.min("first")["label"].alias("mined"))
 
 
 def filter_urls(
@@ -112,10 +108,8 @@ def filter_urls(
     id_col: str = "page_id",
     url_col: str = "url",
     rules: Sequence[tuple[str, str, str]] = RULES,
-    min_support: float = 0.01,
     min_count: int = 10,
     min_confidence: float = 0.8,
-    max_rules: int = 10_000,
     default: str = "allow",
 ) -> DataFrame:
     """id, host, path, rule, verdict of every URL.  labels: the id column and `label`, a verdict."""
@@ -124,10 +118,11 @@ def filter_urls(
     parts = own.withColumn("host", host_of(url)).withColumn("path", path_of(url))
     parts = parts.withColumn("tokens", F.coalesce(tokens(url, F.col("host"), F.col("path")), F.array().cast("array<string>")))
     known = labels.select(F.col(f"`{id_col}`").alias("its"), "label")
-    model = mine(parts.join(known, F.col("id") == F.col("its")).select("tokens", "label"), min_support=min_support, min_count=min_count, min_confidence=min_confidence, max_rules=max_rules)
+    model = mine(parts.join(known, F.col("id") == F.col("its")).select("tokens", "label"), min_count=min_count, min_confidence=min_confidence)
     name, verdict = fitting_rule(F.col("host"), F.col("path"), rules)
-    judged = parts.withColumn("rule", name).withColumn("by_rule", verdict).withColumn("mined", matcher(model, default)("tokens"))
-    return judged.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("by_rule", "mined").alias("verdict"))
+    judged = parts.withColumn("rule", name).withColumn("by_rule", verdict)
+    judged = judged.join(judged_by(parts.select("tokens"), *model), "tokens", "left") if model else judged.withColumn("mined", F.lit(None).cast("string"))
+    return judged.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("by_rule", "mined", F.lit(default)).alias("verdict"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
