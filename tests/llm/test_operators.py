@@ -268,6 +268,17 @@ def test_neighbours_in_a_crowd_of_near_copies(spark):
     assert len(got) == 150 and np.mean(hits[True]) >= 0.99 and np.mean(hits[False]) >= 0.99, (np.mean(hits[True]), np.mean(hits[False]))
 
 
+@pytest.mark.parametrize("rows", [64, 8192])
+def test_neighbours_of_repeated_rows(spark, rows):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(60, 6))
+    plain = [(i, [float(v) for v in x[i]]) for i in range(60)]
+    schema = "vec_id long, embedding array<double>"
+    find = lambda r: sorted(map(tuple, ann.nearest(spark.createDataFrame(r, schema).repartition(2), F.col("id") % 5 == 0, rows=rows).collect()))
+    once = find(plain)
+    assert len(once) == 60 and find(plain * 8) == once
+
+
 # archives
 
 

@@ -12,8 +12,8 @@ too, however many there are, so crowds of near copies lose nothing.  The best k
 Of equal vectors in a task only the k + 1 of smallest id are scanned, since the others lose every tie.
 
 Defined results: null, zero, empty vectors and ones with null or non-finite components take no part, nor do rows without an
-id or of another dimension than most; a query's own id is no candidate; equal scores go to the smaller id; queries with
-fewer candidates than k get all; extra columns are not read; an empty table gives an empty result.
+id or of another dimension than most; a query's own id is no candidate; equal scores go to the smaller id; a repeated row
+counts once, as does an id that has the same score by several rows; queries with fewer candidates than k get all; extra columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -128,10 +128,10 @@ def _search(batches: Iterator[pa.RecordBatch], quantiser: Quantiser, ids: np.nda
         _, same = np.unique(vectors, axis=0, return_inverse=True)
         same = same.ravel()
         by = np.argsort(same, kind="stable")
-        rank = np.empty(len(same), np.int64)
+        by = by[np.concatenate([[True], (same[by][1:] != same[by][:-1]) | (vec_ids[by][1:] != vec_ids[by][:-1])])]  # repeated rows
         start = np.flatnonzero(np.concatenate([[True], same[by][1:] != same[by][:-1]]))
-        rank[by] = np.arange(len(same)) - np.repeat(start, np.diff(np.append(start, len(same))))
-        keep = rank <= k
+        rank = np.arange(len(by)) - np.repeat(start, np.diff(np.append(start, len(by))))
+        keep = by[rank <= k]
         vec_ids, vectors = vec_ids[keep], vectors[keep]
         unit = _unit(vectors)
         codes = quantiser.encode(unit)
@@ -150,7 +150,11 @@ def _search(batches: Iterator[pa.RecordBatch], quantiser: Quantiser, ids: np.nda
         def merge(at: int, n: int, new_ids: np.ndarray, new: np.ndarray) -> None:
             all_ids = np.concatenate([best_ids[at : at + n], new_ids], 1)
             all_scores = np.concatenate([best[at : at + n], new], 1)
-            order = np.lexsort((all_ids, -all_scores), axis=1)[:, :k]
+            order = np.lexsort((all_ids, -all_scores), axis=1)
+            all_ids, all_scores = np.take_along_axis(all_ids, order, 1), np.take_along_axis(all_scores, order, 1)
+            again = (all_ids[:, 1:] == all_ids[:, :-1]) & (all_scores[:, 1:] == all_scores[:, :-1])
+            all_scores[:, 1:][again] = -np.inf
+            order = np.argsort(-all_scores, axis=1, kind="stable")[:, :k]
             best_ids[at : at + n] = np.take_along_axis(all_ids, order, 1)
             best[at : at + n] = np.take_along_axis(all_scores, order, 1)
 
@@ -173,6 +177,8 @@ def _search(batches: Iterator[pa.RecordBatch], quantiser: Quantiser, ids: np.nda
                 exact = score(here + at, its)
                 order = np.lexsort((vec_ids[its], -exact, here))
                 here, its, exact = here[order], its[order], exact[order]
+                single = np.concatenate([[True], (here[1:] != here[:-1]) | (vec_ids[its][1:] != vec_ids[its][:-1]) | (exact[1:] != exact[:-1])])
+                here, its, exact = here[single], its[single], exact[single]
                 place = np.arange(len(here)) - np.searchsorted(here, here)
                 ok = place < k
                 new_ids, new = np.full((n, k), np.iinfo(np.int64).max), np.full((n, k), -np.inf)
