@@ -61,3 +61,14 @@ def test_empty_and_extra_columns(spark, folder, tmp_path):
     for _, stage in pipeline.STAGES:
         docs = pipeline.written(stage(spark, docs, folder), "empty")
     assert docs.isEmpty() and docs.columns.count("size") == 1
+
+
+def test_weak_predictions_among_many_languages_stay(spark, folder):
+    r = random.Random(8)
+    word = lambda g: "".join(chr(0x4E00 + 4 * g + r.randrange(4)) for _ in range(4))
+    rows = [(100 * g + i, " ".join(word(g) for _ in range(40)), f"l{g}", "s", 0) for g in range(40) for i in range(12)]
+    rows += [(5000 + g, " ".join(word((g + i) % 40) for i in (0, 0, *range(1, 12))), f"l{g}", "s", 0) for g in range(40)]
+    docs = spark.createDataFrame([*rows, (9999, "12 34", "l0", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    found = pipeline.langid.identify(docs)
+    assert not found.where("score between 0.0001 and 0.3").isEmpty()
+    assert sorted(x["doc_id"] for x in pipeline.language_id(spark, docs, folder).collect()) == sorted(x[0] for x in rows)
