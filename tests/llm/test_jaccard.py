@@ -85,3 +85,24 @@ def test_other_shingles_and_thresholds(spark):
     df = spark.createDataFrame([(d, t, "clash", "clash") for d, t in rows], SCHEMA).repartition(2)
     out = jaccard.Join(df, words=5, num=80, den=100).result().select("id", "n_shingles", "component_id").collect()
     assert sorted((str(r[0]), r[1], str(r[2])) for r in out) == brute(rows, 5, 80, 100)
+
+
+def test_every_link_of_a_crowd(spark):
+    r = random.Random(12)
+    base = [f"w{i}" for i in range(40)]
+    texts = []
+    for i in range(60):
+        w = list(base)
+        for _ in range(r.randrange(1, 4)):
+            w[r.randrange(40)] = f"x{i}"
+        texts.append(" ".join(w))
+    sets = [{tuple(w[i : i + 3]) for i in range(38)} for w in map(str.split, texts)]
+    expected = {(i, j) for j in range(60) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 60 * len(sets[i] | sets[j])}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    join = jaccard.Join(docs, num=60, den=100, every_link=True)
+    of = {bytes(x["sig"]): x["id"] for x in join.rows.collect()}
+    found = [tuple(sorted((of[bytes(x["a"])], of[bytes(x["b"])]))) for x in join.links.collect()]
+    assert len(of) == 60 and len(found) == len(set(found)) and set(found) == expected
+    few = jaccard.Join(docs, num=60, den=100)
+    assert few.links.count() < len(expected)  # it leaves links within a group out
+    assert join.groups.select("node").distinct().count() == few.groups.select("node").distinct().count()

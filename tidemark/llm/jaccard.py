@@ -10,7 +10,8 @@
 4. Candidates must also have common prefix shingles in the other orders.  Only those that do are verified, on whole sets;
    pairs are dealt out by their neighbourhood, in jobs of a bounded number of pairs, so sets move about once.
 5. Where many sets share a prefix shingle, the pairs that are not yet in one connected group are taken as well, and pass
-   4 again: no link between different groups is lost, and links within a group need not be listed.
+   4 again: no link between different groups is lost, and links within a group need not be listed.  With `every_link` all
+   pairs of such sets that size and position allow are taken, and every link is listed.
 
 Defined results: texts without words, and null texts, have an empty set, link to nothing and are their own component; a row
 without an id belongs to its class, and its component's id is the least there is (null if there is none); repeated rows are
@@ -312,9 +313,11 @@ def _judged(pairs: DataFrame, bring, columns: Sequence[str], judge) -> DataFrame
 
 
 class Join:
-    """The join's tables: `rows` (row, key, n, sig), `links` (a, b) between classes, `groups` (node, root)."""
+    """The join's tables: `rows` (row, key, n, sig), `links` (a, b) between classes, `groups` (node, root).
 
-    def __init__(self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ("doc_id",), words: int = 3, num: int = 90, den: int = 100) -> None:
+    links are enough for the groups, and all there are with `every_link`."""
+
+    def __init__(self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ("doc_id",), words: int = 3, num: int = 90, den: int = 100, every_link: bool = False) -> None:
         spark, rule = docs.sparkSession, Rule(num, den)
         text = F.col(f"`{text_col}`").cast("string").alias("text")
         key = F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
@@ -351,7 +354,8 @@ class Join:
         groups = components(links)
         rooted = crowded.join(groups.withColumnRenamed("node", "sig"), "sig", "left").select("token", "sig", "n", "place", F.coalesce("root", "sig").alias("root"))
         split_ = rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
-        more = rooted.join(split_, "token", "left_semi").repartition("token").sortWithinPartitions("token", "n", "sig")
+        far = crowded.withColumn("root", F.col("sig")) if every_link else rooted.join(split_, "token", "left_semi")
+        more = far.repartition("token").sortWithinPartitions("token", "n", "sig")
         more = more.mapInArrow(lambda rows: _across(rows, rule), _PAIR).distinct().join(pairs, ["a", "b"], "left_anti")
         more = written(more, "more-pairs")
         if not more.isEmpty():
