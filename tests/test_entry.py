@@ -4,10 +4,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from tidemark.plans import catalog
+from tidemark.plans import catalog, roundtrips  # noqa: F401 (registers its queries)
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 CHECKED = ["posts_normalize", "post_tags", "post_tags_from_text", "tag_stats", "pmi_pairs", "topk_static", "topk_adaptive", "topk_delta_encode", "pools_parse", "pool_entropy_idf", "pool_edges", "pool_tag_cooccurrence", "rating_set_disjoint", "ancestor_cache", "tag_knn", "post2vec_norms", "events_windowed"]
+CHECKED += ["tags_csv", "aliases_csv", "implications_csv", "pools_csv_sharded", "posts_stored", "post_tags_sharded", "packs_read_back", "roaring_files", "arrays_read_back", "row_map_appended", "run_metadata", "manifest_changes", "schema_checks", "column_and_hash_checks", "vector_checks"]
 
 
 def test_registered():

@@ -8,11 +8,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark import cli
-from tidemark.config import Config
-from tidemark.functions import codec
+from tidemark.functions import codec, roaring
 from tidemark.operators import checks, pools, relation, stats, vectors
+from tidemark.settings import Settings
 from tidemark.sources import sinks, tables
 from tidemark.streaming import incremental
+from tidemark.validate import CHECKS, validate
 
 POSTS = [
     # id, created_at, rating, tag_string, fav_count, score, is_deleted, is_pending, parent_id, description
@@ -68,8 +69,9 @@ def test_pools_need_their_columns(spark, root):
 
 
 def test_build(spark, root):
-    everything = ["parquet", "tags", "implications", "bitmaps", "columns", "stats", "pmi", "topk", "pools", "tag2vec", "post2vec"]
-    config = Config(root=root, pmi_support=1, tag2vec_min_df=1, tag2vec_dim=4, tag2vec_k=2, topk_k=2)
+    everything = [x for x in cli.STEPS if not x.startswith("pools_")] + ["pools"]
+    config = Settings(root, given={"pairs.support": 1, "universe.min_df": "1", "embedding.dim": 4, "neighbours.k": 2, "ranking.k": 2})
+    assert {r["status"] for r in validate(spark, config).collect()} == {"WARN"}
     took = cli.run(spark, config, everything)
     assert set(took) == set(cli.STEPS) and "fresh" not in took.values()
     read = lambda n: spark.read.parquet(f"{root}/{n}")
@@ -94,6 +96,47 @@ def test_build(spark, root):
     assert set(cli.run(spark, config, everything).values()) == {"fresh"}
     with pytest.raises(ValueError, match="no steps"):
         cli.run(spark, config, ["nonsense"])
+    text, code = checks.report(found := validate(spark, config))
+    assert code == 0 and found.where("status <> 'PASS'").isEmpty() and found.count() >= len(CHECKS), text
+    meta = sinks.read_metadata(spark, f"{root}/tag2vec_meta.json")
+    assert meta["settings"]["embedding"]["dim"] == 4 and len(meta["singular_values"]) <= 16 and meta["tags"] == 3
+    assert sorted(r["id"] for r in sinks.read_roaring(spark, f"{root}/features/rating_s.roar").collect()) == [1, 4, 5, 6]
+    assert cli.resolve(spark, config, " AUTO ") == ["tag 12"] and cli.resolve(spark, config, "lu") == ["maybe blue"]
+    assert [x.split()[2] for x in cli.similar_tags(spark, config, "car", 2)] and cli.similar_tags(spark, config, "zzz") == ["nothing is like 'zzz'"]
+    assert {x.split()[1] for x in cli.similar_posts(spark, config, 1)} == {"2", "5"}
+    # a post that is no longer what its vector says is found
+    read("post2vec").withColumn("vec", F.transform("vec", lambda x: -x)).write.parquet(f"{root}/turned")
+    assert not checks.recomputed_faults(read("turned"), read("post2vec"), "post_id", "vec").isEmpty()
+
+
+def test_settings():
+    s = Settings("d", reliable_only=False, given={"ranking.mode": "sqrt_df", "idf.alpha": "2", "eligible.use_series": "false"})
+    assert s.of("ranking")["mode"] == "sqrt_df" and s.of("ranking")["k"] == 5000 and s.of("idf")["alpha"] == 2.0
+    assert s.of("relation") == {"reliable_only": False} and s.of("eligible")["use_series"] is False and s.at("x") == "d/x"
+    for bad in ({"ranking.nothing": 1}, {"nothing.k": 1}):
+        with pytest.raises(ValueError, match="no settings"):
+            Settings(given=bad)
+    with pytest.raises(ValueError):
+        Settings(given={"eligible.use_series": "maybe"}).of("eligible")
+
+
+def test_roaring_is_the_public_format(spark):
+    sets = [[], [0], [5, 65535, 65536, 1 << 31, (1 << 32) - 1], list(range(0, 200_000, 3)), list(range(70_000)), [*range(10), *range(1 << 17, (1 << 17) + 5000)]]
+    for ids in sets:
+        data = roaring.dump(ids)
+        assert roaring.load(data) == ids
+        theirs = spark._jvm.org.roaringbitmap.RoaringBitmap()
+        theirs.deserialize(spark._jvm.java.nio.ByteBuffer.wrap(bytearray(data)))
+        assert theirs.getCardinality() == len(ids) and list(theirs.toArray())[-3:] == [x - (1 << 32) if x >> 31 else x for x in ids[-3:]]
+        theirs.runOptimize()
+        out = spark._jvm.java.nio.ByteBuffer.allocate(theirs.serializedSizeInBytes())
+        theirs.serialize(out)
+        assert roaring.load(bytes(out.array())) == ids
+    for bad in ([-1], [1 << 32]):
+        with pytest.raises(ValueError):
+            roaring.dump(bad)
+    with pytest.raises(ValueError):
+        roaring.load(b"\x00\x00\x00\x00\x00\x00\x00\x00")
 
 
 def test_packs(spark, tmp_path):
@@ -103,6 +146,12 @@ def test_packs(spark, tmp_path):
     records = [codec.INDEX_RECORD.unpack(index[i : i + 16]) for i in range(0, len(index), 16)]
     pack = (tmp_path / "shard_0001.pack").read_bytes()
     assert [(t, codec.decode(pack[o : o + n])) for t, o, n in records] == [(1, [0, 5, 300]), (257, [7])]
+    found = sinks.read_packs(spark, str(tmp_path))
+    assert {(r["tag_id"], tuple(r["post_ids"])) for r in found.collect()} == {(1, (0, 5, 300)), (257, (7,)), (2, ())} and checks.pack_faults(found).isEmpty()
+    assert not checks.pack_faults(found.withColumn("gap", F.lit(1).cast("long"))).isEmpty()
+    (tmp_path / "shard_0001.pack").write_bytes(pack[:-1])
+    with pytest.raises(Exception, match="beyond its pack"):
+        sinks.read_packs(spark, str(tmp_path)).collect()
 
 
 def test_codec():
@@ -110,8 +159,10 @@ def test_codec():
     for bad in ([3, 3], [-1]):
         with pytest.raises(ValueError):
             codec.encode(bad)
-    with pytest.raises(ValueError):
-        codec.decode(b"\x80")
+    for bad in (b"\x80", b"\x01\x80", b"\xff" * 9 + b"\x01"):
+        with pytest.raises(ValueError):
+            codec.decode(bad)
+    assert codec.decode(b"") == [] and codec.decode(codec.encode([0, 127, 128, 1 << 62])) == [0, 127, 128, 1 << 62]
     with pytest.raises(ValueError):
         codec.decode(bytes([4, 0]))
 
@@ -129,7 +180,7 @@ def test_arrays(spark, tmp_path, root):
     assert sinks.export_arrays(columns, str(tmp_path), {"post_id": "<i8", "epoch_day": "<i4"}) == 6
     assert np.fromfile(tmp_path / "post_id.bin", "<i8").tolist() == [1, 2, 3, 4, 5, 6]
     assert np.fromfile(tmp_path / "epoch_day.bin", "<i4")[3] == 0
-    sinks.write_metadata(str(tmp_path / "m.json"), a=1)
+    sinks.write_metadata(spark, str(tmp_path / "m.json"), a=1)
     assert json.loads((tmp_path / "m.json").read_text()) == {"a": 1}
 
 

@@ -60,15 +60,16 @@ def roots(aliases: DataFrame) -> DataFrame:
     return landing(active_pairs(low)).select("tag", F.col("land").alias("root"))
 
 
-def resolve_tag(tags: DataFrame, aliases: DataFrame, name: str, suggest: int = 20) -> tuple[list[int], list[str]]:
+def resolve_tag(tags: DataFrame, aliases: DataFrame, name: str, suggest: int = 20, stored: DataFrame | None = None) -> tuple[list[int], list[str]]:
     """Ids for a name: the id itself if it is digits, else a name equal in any case, else the alias's end; else no id, and up
-    to `suggest` names that contain it."""
+    to `suggest` names that contain it.  Blanks around the name don't count.  stored: roots(aliases), kept from before."""
+    name = name.strip()
     if name.isascii() and name.isdigit():
         return [int(name)], []
     exact = lambda x: [r["tag_id"] for r in tags.where(F.lower("tag") == x.lower()).select("tag_id").orderBy("tag_id").limit(suggest).collect()]
     if found := exact(name):
         return found, []
-    row = roots(aliases).where(F.col("tag") == name.lower()).first()
+    row = (roots(aliases) if stored is None else stored).where(F.col("tag") == name.lower()).first()
     if row and (found := exact(row["root"])):
         return found, []
     near = tags.where(F.col("tag").contains(name)).select("tag").orderBy("tag").limit(suggest).collect()

@@ -31,7 +31,8 @@ def tags_dict(tags: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def inverted_index(pairs: DataFrame) -> DataFrame:
-    """tag_id, post_ids (distinct, ascending).  A list is as long as its tag is frequent: see bitmap_index for large ones."""
+    """tag_id, post_ids (distinct, ascending), as packed exports need them.  A list is as long as its tag is frequent; the
+    stored index is bitmap_index, whose rows are bounded."""
     return pairs.groupBy("tag_id").agg(F.array_sort(F.collect_set("post_id")).alias("post_ids"))
 
 

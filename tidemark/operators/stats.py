@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.relation import reliable
+from tidemark.storage import written
 
 
 def local_stats(pairs: DataFrame, posts: DataFrame) -> DataFrame:
@@ -53,11 +54,15 @@ def pairs_of(sorted_ids: F.Column) -> F.Column:
 def tag_pmi(pairs: DataFrame, dictionary: DataFrame, support: int = 50, top_m: int = 16) -> DataFrame:
     """a, b (a < b), support, pmi of tags that occur together; counts are those of the posts' top_m rarest tags."""
     lists = rarest(pairs, dictionary, top_m).groupBy("post_id").agg(F.array_sort(F.collect_list("tag_id")).alias("tags"))
-    single = lists.select(F.explode("tags").alias("tag_id")).groupBy("tag_id").agg(F.count("*").alias("n"))
-    both = lists.select(F.explode(pairs_of(F.col("tags"))).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("support"))
-    if support > 1:
-        both = both.where(F.col("support") >= support)
-    total = F.lit(float(lists.count()))
+    # one aggregate counts pairs, tags (b is null) and posts (both are)
+    none = F.lit(None).cast(pairs.schema["tag_id"].dataType)
+    marks = F.concat(pairs_of(F.col("tags")), F.transform("tags", lambda t: F.struct(t.alias("a"), none.alias("b"))), F.array(F.struct(none.alias("a"), none.alias("b"))))
+    counts = lists.select(F.explode(marks).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("support"))
+    counts = written(counts.where(F.col("b").isNull() | (F.col("support") >= support)), "pair-counts")
+    posts = counts.where("a is null").first()
+    total = F.lit(float(posts["support"] if posts else 0))
+    single = counts.where("a is not null and b is null").select(F.col("a").alias("tag_id"), F.col("support").alias("n"))
+    both = counts.where("b is not null")
     both = both.join(single.select(F.col("tag_id").alias("a"), F.col("n").alias("na")), "a").join(single.select(F.col("tag_id").alias("b"), F.col("n").alias("nb")), "b")
     pmi = F.ln((F.col("support") / total + F.lit(1e-12)) / ((F.col("na") / total) * (F.col("nb") / total) + F.lit(1e-12)))
     return both.select("a", "b", "support", pmi.alias("pmi"))

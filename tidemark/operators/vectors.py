@@ -14,6 +14,10 @@ from tidemark.operators.relation import reliable
 from tidemark.storage import written
 
 
+#: tag vectors up to this size are broadcast as one matrix
+MATRIX_BYTES = 64 << 20
+
+
 def tag_universe(tag_stats: DataFrame, min_df: int = 100, max_tags: int = 200_000) -> DataFrame:
     """tag_id, df of the tags of enough posts, the most frequent max_tags of them; ties by id."""
     count = [F.col(c) for c in ("df_local", "post_count") if c in tag_stats.columns]
@@ -52,7 +56,8 @@ def tag2vec(weights: DataFrame, universe: DataFrame, dim: int = 128) -> tuple[Da
 
     The rank is below the number of tags; vectors are padded with zeros to dim.  The matrix stays distributed; only the
     Gramian's dim leading vectors meet on the driver."""
-    from pyspark.mllib.linalg.distributed import CoordinateMatrix, MatrixEntry
+    from pyspark.mllib.linalg import SparseVector
+    from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
 
     spark = weights.sparkSession
     order = Window.orderBy("tag_id")
@@ -64,7 +69,9 @@ def tag2vec(weights: DataFrame, universe: DataFrame, dim: int = 128) -> tuple[Da
     zeros = place.select("tag_id", F.array_repeat(F.lit(0.0), dim).alias("vec"))
     if rank < 1 or cells.isEmpty():
         return zeros, []
-    matrix = CoordinateMatrix(cells.rdd.map(lambda r: MatrixEntry(r["i"], r["j"], r["x"])), n, n).toIndexedRowMatrix()
+    each = cells.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("j", "x"))).alias("cells"))  # at most max_tags of them
+    sparse = each.select("i", F.transform("cells", lambda c: c["j"].cast("int")).alias("js"), F.transform("cells", lambda c: c["x"]).alias("xs"))
+    matrix = IndexedRowMatrix(sparse.rdd.map(lambda r: IndexedRow(r["i"], SparseVector(n, r["js"], r["xs"]))), n, n)
     svd = matrix.computeSVD(rank, computeU=True)
     sigma = [float(s) for s in svd.s.toArray()]
     rows = spark.createDataFrame(svd.U.rows.map(lambda r: (int(r.index), [float(x) for x in r.vector.toArray()])), "row bigint, u array<double>")
@@ -121,16 +128,48 @@ def knn(vectors: DataFrame, k: int = 32, id_col: str = "tag_id", vec_col: str =
 def post2vec(pairs: DataFrame, posts: DataFrame, tag_vecs: DataFrame, dims: int, tag_stats: DataFrame | None = None, reliable_only: bool = True) -> DataFrame:
     """post_id, vec: the unit vector of the sum of idf * vec over a post's distinct tags; zero stays zero.
 
-    Tags without a vector are left out, an unknown idf is 1.  A post's tags are summed by one expression, unexploded."""
+    pairs: distinct.  Tags without a vector are left out, an unknown idf is 1.  Where the vectors take at most MATRIX_BYTES they
+    are broadcast as a matrix and only weights are shuffled; else each pair brings its vector along."""
     rows = (reliable(posts) if reliable_only else posts).select(F.col("id").alias("post_id"))
     weights = tag_vecs if tag_stats is None else tag_vecs.join(tag_stats.select("tag_id", "idf"), "tag_id", "left")
     weight = F.lit(1.0) if tag_stats is None else F.coalesce("idf", F.lit(1.0))
     known = weights.select("tag_id", F.struct(F.col("tag_id"), weight.alias("weight"), "vec").alias("t"))
-    own = pairs.distinct().join(known, "tag_id").groupBy("post_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
+    if tag_vecs.count() * (dims + 1) * 8 <= MATRIX_BYTES:
+        return _summed(pairs, rows, weights.select("tag_id", weight.alias("weight"), F.col("vec").cast("array<double>").alias("vec")), dims)
+    own = pairs.join(known, "tag_id").groupBy("post_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
     empty = F.array_repeat(F.lit(0.0), dims)
     return rows.join(own, "post_id", "left").select("post_id", F.when(F.col("ts").isNull(), empty).otherwise(normalised(weighted_sum(F.col("ts"), dims))).alias("vec"))
 
 
+def _summed(pairs: DataFrame, rows: DataFrame, known: DataFrame, dims: int) -> DataFrame:
+    """post2vec by a broadcast matrix: a post's tags are gathered, their rows summed in the order of tags."""
+    found = known.orderBy("tag_id").toArrow()
+    ids, weight = (found.column(i).to_numpy() for i in (0, 1))
+    matrix = found.column(2).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), dims) * weight[:, None]
+    shared = pairs.sparkSession.sparkContext.broadcast((ids.astype(np.int64), matrix))
+    lists = pairs.groupBy("post_id").agg(F.array_sort(F.collect_list(F.col("tag_id").cast("bigint"))).alias("tags"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, matrix = shared.value
+        for batch in batches:
+            lists = batch.column(1).fill_null([])
+            n = lists.value_lengths().to_numpy()
+            tags = lists.flatten().to_numpy().astype(np.int64)
+            at = np.minimum(np.searchsorted(ids, tags), max(0, len(ids) - 1))
+            has = ids[at] == tags if len(ids) else np.zeros(len(tags), bool)
+            of = np.repeat(np.arange(len(n)), n)[has]
+            out = np.zeros((batch.num_rows, dims))
+            if len(of):
+                first = np.flatnonzero(np.diff(of, prepend=-1))
+                out[of[first]] = np.add.reduceat(matrix[at[has]], first, axis=0)
+            length = np.sqrt((out * out).sum(1))
+            out[length > 0] /= length[length > 0][:, None]
+            vec = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * dims), pa.array(out.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), vec], names=["post_id", "vec"])
+
+    return rows.join(lists, "post_id", "left").select("post_id", "tags").mapInArrow(run, f"post_id {rows.schema['post_id'].dataType.simpleString()}, vec array<double>")
+
+
 def similar(vectors: DataFrame, id_col: str, vec_col: str, id_: int, k: int, include_query: bool = False) -> DataFrame:
     """id, sim: the k rows most similar by cosine to the row of that id; an error if there is none."""
     row = vectors.where(F.col(id_col) == id_).select(F.col(vec_col).cast("array<double>")).first()

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,25 +9,11 @@ from tidemark.functions import codec
 from tidemark.functions.vector import norm
 from tidemark.operators import aliases, checks, graph, pools, relation, stats, vectors
 from tidemark.plans import adapters as a
+from tidemark.plans.registry import ORACLE, QUERIES, register
 from tidemark.sources import tables
 from tidemark.storage import new_path, written
 from tidemark.streaming.incremental import windowed_counts
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
-
-
-def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
-    def put(f: Query) -> Query:
-        QUERIES[name] = f
-        if oracle:
-            ORACLE[name] = oracle
-        return f
-
-    return put
-
-
 # sources and the relation
 
 
@@ -80,8 +64,8 @@ def tags_dict_used(spark: SparkSession, d: str) -> DataFrame:
 
 # names and graphs
 
-_WALK = """names AS (SELECT p_partkey AS x, CAST(p_size AS BIGINT) AS n FROM part WHERE p_partkey < 97),
-step AS (SELECT x, (x * x + 1) % 97 AS y FROM names WHERE x <> (x * x + 1) % 97),
+_WALK = """names AS (SELECT p_partkey AS x, CAST(p_size AS BIGINT) AS n FROM part),
+step AS (SELECT x, ((x % 97) * (x % 97) + 1) % 97 AS y FROM names WHERE x <> ((x % 97) * (x % 97) + 1) % 97),
 walk(x, at_, i) AS (SELECT x, y, 1 FROM step UNION ALL SELECT w.x, s.y, i + 1 FROM walk w JOIN step s ON s.x = w.at_ WHERE i < 128),
 stop AS (SELECT w.x, w.at_ FROM walk w LEFT JOIN step s ON s.x = w.at_ WHERE s.x IS NULL),
 land AS (SELECT x, at_ FROM walk WHERE i = 128),
@@ -89,15 +73,6 @@ orbit(l, at_, i) AS (SELECT DISTINCT at_, at_, 0 FROM land UNION ALL SELECT l, s
 best AS (SELECT l, at_ AS b FROM (SELECT l, o.at_, row_number() OVER (PARTITION BY l ORDER BY coalesce(n, -1) DESC, 't' || o.at_) AS r FROM (SELECT DISTINCT l, at_ FROM orbit) o LEFT JOIN names ON names.x = o.at_) WHERE r = 1)"""
 
 
-# The SQL of these four is bounded to few ids, since recursive SQL over all of part is too slow; their queries keep to it.  The
-# ones named _whole run over all of part, and are checked against brute force instead of SQL.
-
-
-def _names(spark: SparkSession, d: str, limit: int | None = None) -> DataFrame:
-    names = a.fine_tags(spark, d)
-    return names if limit is None else names.where(F.col("tag_id") < limit)
-
-
 def _pairs(names: DataFrame, to: F.Column) -> DataFrame:
     return names.select(F.col("tag").alias("antecedent_name"), F.concat(F.lit("t"), to.cast("string")).alias("consequent_name"), F.lit("active").alias("status"))
 
@@ -107,52 +82,35 @@ def _pairs(names: DataFrame, to: F.Column) -> DataFrame:
     f"WITH RECURSIVE {_WALK} SELECT 't' || x AS tag, 't' || at_ AS canon FROM stop UNION ALL SELECT 't' || x, 't' || b FROM land JOIN best ON l = at_",
 )
 def alias_functional_graph(spark: SparkSession, d: str) -> DataFrame:
-    return _functional_graph(_names(spark, d, 97))
-
-
-@register("alias_functional_graph_whole")
-def alias_functional_graph_whole(spark: SparkSession, d: str) -> DataFrame:
-    return _functional_graph(_names(spark, d))
-
-
-def _functional_graph(names: DataFrame) -> DataFrame:
+    names = a.fine_tags(spark, d)
     x = F.col("tag_id").cast("long") % 97  # the square of an id may not fit
     return aliases.alias_map(names, _pairs(names, (x * x + 1) % 97))
 
 
 @register(
     "alias_canonical_cycle",
-    """WITH n AS (SELECT p_partkey AS x, p_size AS n, p_partkey // 7 AS b FROM part WHERE p_partkey < 1400),
+    """WITH n AS (SELECT p_partkey AS x, p_size AS n, p_partkey // 7 AS b FROM part),
 full_ AS (SELECT b FROM n GROUP BY b HAVING count(*) = 7),
 best AS (SELECT b, x AS best FROM (SELECT b, x, row_number() OVER (PARTITION BY b ORDER BY n DESC, 't' || x) AS r FROM n) WHERE r = 1)
 SELECT 't' || x AS tag, 't' || best AS canon FROM n JOIN best USING (b) JOIN full_ USING (b)""",
 )
 def alias_canonical_cycle(spark: SparkSession, d: str) -> DataFrame:
-    return _canonical_cycle(_names(spark, d, 1400))
-
-
-@register("alias_canonical_cycle_whole")
-def alias_canonical_cycle_whole(spark: SparkSession, d: str) -> DataFrame:
-    return _canonical_cycle(_names(spark, d))
-
-
-def _canonical_cycle(names: DataFrame) -> DataFrame:
+    names = a.fine_tags(spark, d)
     block = F.floor(F.col("tag_id") / 7)
     whole = names.groupBy(block.alias("b")).agg(F.count("*").alias("n")).where("n = 7").select("b")
     names = names.withColumn("b", block).join(whole, "b").drop("b")
     return aliases.alias_map(names, _pairs(names, F.floor(F.col("tag_id") / 7) * 7 + (F.col("tag_id") + 1) % 7))
 
 
-_CYCLIC = """x AS (SELECT p_partkey AS x FROM part WHERE p_partkey BETWEEN 1 AND 255),
+_CYCLIC = """x AS (SELECT p_partkey AS x FROM part WHERE p_partkey >= 1),
 e AS (SELECT x AS a, x // 2 AS b FROM x UNION SELECT x // 2, x FROM x WHERE x % 10 = 0 AND x > 1),
 reach(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON e.a = r.b),
 nodes AS (SELECT a AS v FROM e UNION SELECT b FROM e),
 comp AS (SELECT v, coalesce((SELECT max(r.b) FROM reach r JOIN reach s ON s.a = r.b AND s.b = r.a WHERE r.a = v), v) AS c FROM nodes)"""
 
 
-def _cyclic_edges(spark: SparkSession, d: str, last: int | None = None) -> DataFrame:
+def _cyclic_edges(spark: SparkSession, d: str) -> DataFrame:
     x = a.table(spark, d, "part").select(F.col("p_partkey").alias("x")).where("x >= 1")  # the edge of 0 leads to itself
-    x = x if last is None else x.where(F.col("x") <= last)
     up = x.select(F.col("x").alias("a"), F.floor(F.col("x") / 2).alias("b"))
     down = x.where("x % 10 = 0").select(F.floor(F.col("x") / 2).alias("a"), F.col("x").alias("b"))
     return up.unionByName(down).distinct()
@@ -160,25 +118,12 @@ def _cyclic_edges(spark: SparkSession, d: str, last: int | None = None) -> DataF
 
 @register("scc", f"WITH RECURSIVE {_CYCLIC} SELECT CAST(v AS BIGINT) AS node, CAST(greatest(c, v) AS BIGINT) AS comp FROM comp")
 def scc(spark: SparkSession, d: str) -> DataFrame:
-    return graph.scc(_cyclic_edges(spark, d, 255))
-
-
-@register("scc_whole")
-def scc_whole(spark: SparkSession, d: str) -> DataFrame:
     return graph.scc(_cyclic_edges(spark, d))
 
 
 @register("implication_dag", f"WITH RECURSIVE {_CYCLIC} SELECT CAST(a AS BIGINT) AS a_id, CAST(b AS BIGINT) AS b_id FROM e JOIN comp p ON p.v = a JOIN comp q ON q.v = b WHERE greatest(p.c, p.v) <> greatest(q.c, q.v)")
 def implication_dag(spark: SparkSession, d: str) -> DataFrame:
-    return _acyclic(spark, d, _cyclic_edges(spark, d, 255))
-
-
-@register("implication_dag_whole")
-def implication_dag_whole(spark: SparkSession, d: str) -> DataFrame:
-    return _acyclic(spark, d, _cyclic_edges(spark, d))
-
-
-def _acyclic(spark: SparkSession, d: str, edges: DataFrame) -> DataFrame:
+    edges = _cyclic_edges(spark, d)
     name = lambda c: F.concat(F.lit("t"), F.col(c).cast("string"))
     rows = edges.select(name("a").alias("antecedent_name"), name("b").alias("consequent_name"), F.lit("active").alias("status"))
     return graph.implication_dag(rows, a.fine_tags(spark, d), spark.createDataFrame([], "tag string, canon string"))
@@ -347,9 +292,9 @@ def pools_parse(spark: SparkSession, d: str) -> DataFrame:
     return pools.parse_pools(raw)[1]
 
 
-def _entropy(spark: SparkSession, d: str, idf: bool = False) -> DataFrame:
+def _entropy(spark: SparkSession, d: str, idf: bool = False, pairs: DataFrame | None = None) -> DataFrame:
     weights = _stats(spark, d, "tags") if idf else None
-    return pools.pool_entropy(a.pools_meta(spark, d), a.pool_posts(spark, d), a.post_tags(spark, d), weights)
+    return pools.pool_entropy(a.pools_meta(spark, d), a.pool_posts(spark, d), a.post_tags(spark, d) if pairs is None else pairs, weights)
 
 
 @register("pool_entropy", f"""{_H} SELECT CAST(pool_id AS BIGINT) AS pool_id, CAST(size AS INTEGER) AS size, category, round("H_tags", 6) AS "H_tags" FROM meta LEFT JOIN h USING (pool_id)""")
@@ -365,8 +310,8 @@ def pool_entropy_idf(spark: SparkSession, d: str) -> DataFrame:
 _ELIGIBLE = """eligible AS (SELECT pool_id, size, category FROM meta LEFT JOIN h USING (pool_id) WHERE category = 'series' OR (category = 'collection' AND "H_tags" <= 3.3))"""
 
 
-def _eligible(spark: SparkSession, d: str) -> DataFrame:
-    return pools.eligible_pools(_entropy(spark, d), max_h=3.3)
+def _eligible(spark: SparkSession, d: str, pairs: DataFrame | None = None) -> DataFrame:
+    return pools.eligible_pools(_entropy(spark, d, pairs=pairs), max_h=3.3)
 
 
 @register("eligible_pools", f"{_H}, {_ELIGIBLE} SELECT CAST(pool_id AS BIGINT) AS pool_id, category FROM eligible")
@@ -390,7 +335,8 @@ co AS (SELECT x.tag_id AS a, y.tag_id AS b, sum(1 / sqrt(size)) AS w, count(*) A
 
 
 def _co(spark: SparkSession, d: str) -> DataFrame:
-    return pools.pool_tag_co(a.pool_posts(spark, d), a.post_tags(spark, d), _eligible(spark, d), top_m=4)
+    pairs = written(a.post_tags(spark, d), "pairs")
+    return pools.pool_tag_co(a.pool_posts(spark, d), pairs, _eligible(spark, d, pairs), top_m=4)
 
 
 @register("pool_tag_cooccurrence", f"{_H}, {_ELIGIBLE}, {_CO} SELECT CAST(a AS INTEGER) AS a_tag_id, CAST(b AS INTEGER) AS b_tag_id, round(w, 6) AS weight, CAST(n AS INTEGER) AS pools FROM co")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# The columns of the dumps, their types and defaults are fixed values of the input format.
 #: column, type, value where the input has no such column; flags hold 't' or 'f', optional ones may be empty
 POSTS = (
     ("id", "bigint", None),
@@ -37,6 +38,9 @@ POSTS = (
     ("is_status_locked", "flag", False),
     ("is_note_locked", "flag", False),
 )
+#: the types of the columns of stored posts; the keys of their folders are among them
+POST_KEYS = ("rating", "year", "month")
+POST_TYPES = {n: {"flag": "boolean"}.get(k, k.removeprefix("optional ")) for n, k, _ in POSTS} | {"year": "string", "month": "string"}
 POOLS = ("id", "name", "created_at", "updated_at", "creator_id", "description", "is_active", "category", "post_ids")
 
 
@@ -71,7 +75,7 @@ def read_posts(spark: SparkSession, path: str) -> DataFrame:
 
 def read_tags(spark: SparkSession, path: str) -> DataFrame:
     """tag_id, tag, category, post_count; lenient casts, a missing column is null, a missing count 0."""
-    raw = read_text_csv(spark, path)
+    raw = read_text_csv(spark, path, multiline=False)
     text = {c: F.col(f"`{c}`") if c in raw.columns else F.lit(None).cast("string") for c in ("id", "name", "category", "post_count")}
     return raw.select(text["id"].try_cast("bigint").alias("tag_id"), text["name"].alias("tag"), text["category"].try_cast("int").alias("category"), F.coalesce(text["post_count"].try_cast("bigint"), F.lit(0).cast("bigint")).alias("post_count"))
 
@@ -95,9 +99,9 @@ def read_pools(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(*POOLS)
 
 
-def read_partitioned(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet folder with its partition columns; month '01' stays text if the session doesn't infer partition types."""
-    return spark.read.parquet(path)
+def read_stored_posts(spark: SparkSession, path: str) -> DataFrame:
+    """Posts from their partitioned folder; the given types keep month '01' text whether or not the session infers types."""
+    return spark.read.schema(", ".join(f"`{n}` {t}" for n, t in POST_TYPES.items())).parquet(path)
 
 
 def read_post_tags(spark: SparkSession, path: str) -> DataFrame:
