@@ -110,7 +110,8 @@ def read_packs(spark: SparkSession, folder: str, coding: str = "delta") -> DataF
                 gap = found["offset"] - np.concatenate([[0], end[:-1]]) if len(found) else found["offset"]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), s, np.int32)), *(pa.array(np.ascontiguousarray(found[c])) for c in ("tag_id", "offset", "length")), pa.array(gap.astype(np.int64)), pa.array(ids, pa.list_(pa.int64()))], names=["shard", "tag_id", "offset", "length", "gap", "post_ids"])
 
-    return index.join(pack, "shard").mapInArrow(unpack, "shard int, tag_id int, offset long, length int, gap long, post_ids array<long>")
+    both = index.join(pack, "shard", "left").select("shard", "records", F.coalesce("content", F.lit(b"")).alias("content"))  # an empty pack isn't listed
+    return both.mapInArrow(unpack, "shard int, tag_id int, offset long, length int, gap long, post_ids array<long>")
 
 
 def export_roaring(ids: DataFrame, id_col: str, path: str) -> int:
