@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import jaccard
 
@@ -106,3 +107,39 @@ def test_every_link_of_a_crowd(spark):
     few = jaccard.Join(docs, num=60, den=100)
     assert few.links.count() < len(expected)  # it leaves links within a group out
     assert join.groups.select("node").distinct().count() == few.groups.select("node").distinct().count()
+
+
+@pytest.mark.parametrize("crowd", [4, 30])
+def test_parted_crowds_lose_nothing(spark, crowd):
+    rows = corpus(5)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = jaccard.Join(df, crowd=crowd).result().select("id", "n_shingles", "component_id").collect()
+    assert sorted((str(r[0]), r[1], str(r[2])) for r in out) == brute(rows)
+
+
+@pytest.mark.parametrize("shape", ["star", "clique", "large sets"])
+def test_jobs_are_bounded(spark, shape):
+    n = {"star": 20_000, "clique": 20_000, "large sets": 3000}[shape]
+    size = 30_000 if shape == "large sets" else 300
+    name = lambda c: F.concat(F.lit("n"), c.cast("string")).cast("binary")
+    i = F.col("id")
+    a, b = (F.lit(0), i + 1) if shape != "clique" else (i % 200, 200 + F.floor(i / 200))
+    pairs = spark.range(n).select(name(a).alias("a"), name(b).alias("b"), F.lit(2 * size).alias("n"))
+    jobs = jaccard._jobs(pairs)
+    assert jobs.count() == n and jobs.select("a", "b").distinct().count() == n
+    weights = [r["w"] for r in jobs.groupBy("job").agg(F.sum(F.col("n") + jaccard.OWN).alias("w")).collect()]
+    assert max(weights) <= jaccard.JOB and len(weights) <= 6 * sum(weights) / jaccard.JOB + 1
+
+
+def test_rows_that_differ_beside_id_and_text_are_kept_the_same_way(spark):
+    rows = [(1, "a b c d e f", x) for x in "pqrstu"] + [(2, "a b c d e f", "v")]
+    kept = {jaccard.Join(spark.createDataFrame(r, "doc_id long, text string, other string").repartition(p)).kept().first()["other"] for r, p in ((rows, 1), (rows[::-1], 3))}
+    assert len(kept) == 1 and kept < set("pqrstu")
+
+
+def test_long_texts(spark):
+    r = random.Random(9)
+    long = [f"w{r.randrange(10**6)}" for _ in range(120_000)]
+    near = [x if i % 600 else "changed" for i, x in enumerate(long)]
+    rows = [(1, " ".join(long)), (2, " ".join(near)), (3, " ".join(long[:100_000]))]
+    assert [c for _, _, c in joined(spark, rows)] == ["1", "1", "3"]

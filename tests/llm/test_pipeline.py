@@ -72,3 +72,24 @@ def test_weak_predictions_among_many_languages_stay(spark, folder):
     found = pipeline.langid.identify(docs)
     assert not found.where("score between 0.0001 and 0.3").isEmpty()
     assert sorted(x["doc_id"] for x in pipeline.language_id(spark, docs, folder).collect()) == sorted(x[0] for x in rows)
+
+
+def test_repeated_rows_ties_nulls_and_long_texts_in_every_stage(spark, folder):
+    r = random.Random(21)
+    known = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 80")
+    long = " ".join(r.choices([w for t in known.where("lang = 'en'").select("text").limit(5).collect() for w in t[0].split()], k=30_000))
+    odd = [(500, long, "en", None, None), (500, long, "en", None, None), (None, "abcdefg gfedcba bad cab fed egg", None, None, None), (501, None, None, "s1", 7), (502, "", "en", "s1", 0), (503, "fade bad cab", "en", "s9", 12)]
+    docs = known.unionByName(spark.createDataFrame(odd, known.schema))
+    out = {}
+    for name, stage in pipeline.STAGES:
+        made = pipeline.written(stage(spark, docs, folder), name)
+        out[name] = made.collect()
+    count = lambda name, i: sum(x["doc_id"] == i for x in out[name])
+    assert len(out["language_id"]) == 84 and count("language_id", 501) == count("language_id", 502) == 0 and count("language_id", None) == 1
+    assert len(out["near_duplicates"]) == 85 and count("near_duplicates", 500) == 1 and count("near_duplicates", 501) == count("near_duplicates", 502) == 1
+    assert len(out["decontamination"]) == 86 == len(out["secrets"])
+    assert count("mixing", 501) == count("mixing", 502) == 0 and {x["copies"] for x in out["mixing"]} <= {1, 2, 3}
+    hidden = {x["doc_id"]: x for x in out["secrets"]}
+    assert hidden[501]["text"] is None and hidden[501]["n_chars"] == 7 and hidden[502]["text"] == "" and hidden[500]["text"] == long
+    again = {name: stage(spark, docs, folder).count() for name, stage in pipeline.STAGES}
+    assert again == {name: len(rows) for name, rows in out.items()}

@@ -5,18 +5,20 @@ k + w - 1 = n words: any n words in a row that two texts share leave the same fi
 are looked up among those of the benchmark; around each hit the n-word windows are compared word by word, which decides.
 An item of fewer than n words is one window of its own length L, with k = L and w = 1.
 
-The benchmark is taken in blocks of at most `block_bytes` of text, each broadcast as sorted arrays (about 5 times the block),
-so its size is no limit: with more blocks the documents are read once for each.  Nothing is shuffled, whatever passages
-documents share.
+A benchmark of at most `block_bytes` of text is broadcast as sorted arrays (about 5 times its size), and one pass over the
+documents joins and extends; nothing is shuffled, whatever passages documents share.  Of a larger one the fingerprints are
+joined to those of the documents by a shuffle (a document has each of its fingerprints once).  Then only documents that share
+one are compared, with the blocks of the benchmark that they share it with, a block being some `block_bytes` and no less than
+one item.  What moves on are the words that are hit, by the hashes of their text; texts are not written again.
 
 Defined results: null texts and texts without words have no words, no hits and are not contaminated; null or empty items
 match nothing; items are reported by distinct id, an item without an id counts for hits only; repeated rows are judged
-alike; other columns are carried as they are; empty tables give empty results.
+alike; texts and items of any length are read whole; other columns are carried as they are; empty tables give empty results.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +26,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.arrow import map_texts
-from tidemark.llm.store import written
+from tidemark.llm.store import bounded_batches, few, identity, shared, written
 from tidemark.llm.words import ALNUM, LOWER, grams, minima, pieces, split
 
+#: a word, once A-Z are lower-cased
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 N = 13
 K = 7
 BLOCK_BYTES = 8 << 20
@@ -139,24 +143,63 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str =
     """row (the carried columns), n_words, hits (word spans: start, end, ...), items (ids, sorted), n_hit."""
     items = benchmark.select(F.col(f"`{item_id}`").cast("string").alias("id"), F.col(f"`{item_text}`").alias("text")).where("text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
-    items = items.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)))
-    spark, found = docs.sparkSession, None
-    for block in range(blocks):
-        rows = items.where(F.col("block") == block).select("id", "text").distinct().collect()  # block_bytes on average
-        index = spark.sparkContext.broadcast(Index([r["id"] for r in rows], [r["text"] for r in rows], n, k))
-        last = block == blocks - 1
-        if found is None:
-            found = map_texts(docs, text_col, list(dict.fromkeys([*carry, *([] if last else [text_col])])), lambda b=index: _matcher(b.value), _FIELDS)
-        else:
-            again = found.select(F.struct("row", F.col("hits").alias("old_hits"), F.col("items").alias("old_items")).alias("kept"), F.col(f"row.`{text_col}`").alias("text"))
-            found = map_texts(again, "text", ["kept"], lambda b=index: _matcher(b.value), _FIELDS)
-            found = found.select("row.kept.row", "n_words", F.concat("row.kept.old_hits", "hits").alias("hits"), F.array_sort(F.array_union("row.kept.old_items", "items")).alias("items"))
-        if not last:
-            found = written(found, f"decontam-{block}")
-    if blocks > 1:
-        found = found.withColumn("row", F.struct(*(F.col(f"row.`{c}`") for c in carry)))
-    return found.withColumn("n_hit", _hit_words(F.col("hits")))
+    if total <= block_bytes:
+        index = shared(docs.sparkSession, _index_of(items.select("id", "text"), n, k))
+        return map_texts(docs, text_col, carry, lambda: _matcher(index.value), _FIELDS).withColumn("n_hit", _hit_words(F.col("hits")))
+
+    bounded_batches(docs.sparkSession)
+    items = items.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(-(-total // block_bytes))).cast("int"))
+    text = F.col(f"`{text_col}`").cast("string")
+    keyed = docs.select(text.alias("text"), identity(text).alias("key")).select("key.*", "text").where("text is not null")
+    its = written(items.select("block", "text").mapInArrow(lambda b: _prints(b, n, k, None), "block int, size int, print long").distinct(), "prints")
+    sizes = [r["size"] for r in its.select("size").distinct().collect()]  # n at most
+    own = keyed.mapInArrow(lambda b: _prints(b, n, k, sizes), "h1 long, h2 long, size int, print long")
+    wanted = written(own.join(its, ["size", "print"]).select("h1", "h2", "block").distinct(), "sharing")
+    found = None
+    for block in sorted(r["block"] for r in wanted.select("block").distinct().collect()):
+        index = shared(docs.sparkSession, _index_of(items.where(F.col("block") == block).select("id", "text"), n, k))
+        some = keyed.join(few(written(wanted.where(F.col("block") == block).select("h1", "h2"), "block")), ["h1", "h2"], "left_semi")
+        part = map_texts(some, "text", ["h1", "h2"], lambda b=index: _matcher(b.value), _FIELDS).where(F.size("hits") > 0)
+        part = written(part.groupBy("row.h1", "row.h2").agg(F.first("hits").alias("hits"), F.first("items").alias("items")), "hits")  # equal texts have equal hits
+        found = part if found is None else found.unionByName(part)
+    word = F.regexp_count(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(WORD))
+    out = docs.select(F.struct(*(F.col(f"`{c}`") for c in carry)).alias("row"), F.coalesce(word, F.lit(0)).cast("long").alias("n_words"), identity(text).alias("key")).select("row", "n_words", "key.*")
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    if found is None:
+        return out.select("row", "n_words", none("int").alias("hits"), none("string").alias("items"), F.lit(0).cast("long").alias("n_hit"))
+    whole = found.groupBy("h1", "h2").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))  # a row a block
+    out = out.join(few(written(whole, "hits")), ["h1", "h2"], "left")
+    out = out.select("row", "n_words", F.coalesce("hits", none("int")).alias("hits"), F.coalesce("items", none("string")).alias("items"))
+    return out.withColumn("n_hit", _hit_words(F.col("hits")))
+
+
+def _index_of(items: DataFrame, n: int, k: int) -> Index:
+    """Of a block of items, whose bytes are bounded."""
+    rows = items.distinct().collect()
+    return Index([r["id"] for r in rows], [r["text"] for r in rows], n, k)
+
+
+def _prints(batches: Iterator[pa.RecordBatch], n: int, k: int, sizes: Sequence[int] | None) -> Iterator[pa.RecordBatch]:
+    """The columns before the text, size, print: each text's fingerprints once, for windows of the given sizes, or of an item's
+    own size."""
+    for batch in batches:
+        own = batch.schema.names[:-1]
+        for i, _, data, offsets in pieces(batch.column(len(own))):
+            words = split(data, offsets, ALNUM, LOWER)
+            count, doc = np.diff(words.first), words.doc_of()
+            for size in sizes if sizes is not None else range(1, n + 1):
+                k_, w = (k, n - k + 1) if size == n else (size, 1)
+                total = len(doc) - size + 1
+                if total <= 0:
+                    continue
+                g = grams(words.hash, k_)
+                inside = np.flatnonzero(doc[:total] == doc[size - 1 :])
+                if sizes is None:
+                    inside = inside[np.minimum(count[doc[inside]], n) == size]
+                at = minima(g, w)[inside]
+                pair = np.unique(np.stack([doc[inside], g[at].view(np.int64)], 1), axis=0)
+                row = pa.array(i + pair[:, 0])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(row) for c in range(len(own))), pa.array(np.full(len(pair), size, np.int32)), pa.array(np.ascontiguousarray(pair[:, 1]))], names=[*own, "size", "print"])
 
 
 def contaminated() -> F.Column:

@@ -6,16 +6,20 @@
    all texts, in blocks of a few thousand, whose frequent shingles are added up; any order gives the same links.
 3. Two sets can only be similar enough if their first few shingles in an order (the prefix) have one in common.  Prefix
    shingles are shuffled once and streamed in order: up to SMALL sets that share one are paired if size and position
-   allow it.  Where more share one, each is paired with the first CENTRES, the sets of fewest rare shingles.
+   allow it.  Where more share one, each is paired with the first CENTRES, the sets of fewest rare shingles.  A shingle that
+   more than CROWD texts have is dealt to several tasks, each of which streams a part of its sets.
 4. Candidates must also have common prefix shingles in the other orders.  Only those that do are verified, on whole sets;
-   pairs are dealt out by their neighbourhood, in jobs of a bounded number of pairs, so sets move about once.
-5. Where many sets share a prefix shingle, the pairs that are not yet in one connected group are taken as well, and pass
-   4 again: no link between different groups is lost, and links within a group need not be listed.  With `every_link` all
+   pairs are dealt out by their neighbourhood, so sets move about once.  A job's sets are bounded in bytes: a neighbourhood
+   of more is cut into a grid by both ends of its pairs, and a cell of the grid that is still too large by pairs.
+5. Where many sets share a prefix shingle, the pairs that are not yet in one connected group are taken as well, in a grid
+   of blocks of CROWD sets, and pass 4 again: no link between different groups is lost, and links within a group need not be
+   listed.  With `every_link` all
    pairs of such sets that size and position allow are taken, and every link is listed.
 
 Defined results: texts without words, and null texts, have an empty set, link to nothing and are their own component; a row
 without an id belongs to its class, and its component's id is the least there is (null if there is none); repeated rows are
-copies; other columns are carried as they are; an empty table gives an empty result.
+copies; of rows that have id and text in common the one of least hash of all columns is kept; other columns are carried as
+they are; texts of any length are read whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.arrow import map_texts
 from tidemark.llm.graph import components
-from tidemark.llm.store import written
+from tidemark.llm.store import bounded_batches, few, identity, shared, written
 from tidemark.llm.words import BLANKS, LOWER, Words, grams, mix, odd, pieces, split
 
 SMALL = 16
@@ -40,12 +44,12 @@ CENTRES = 3
 BLOCK, OFTEN = 1 << 22, 4
 #: frequent shingles that the order knows (8 bytes each, broadcast); others are ordered by hash alone
 FREQUENT = 1 << 18
-#: pairs, and so at most twice as many sets, that are verified in one group
-PAIRS = 2000
-#: lists of up to so many candidate sets (to pick their texts, or to deal them to jobs) are broadcast, longer ones are joined by a shuffle
-BROADCAST_ROWS = 500_000
+#: texts, or sets, of one shingle that are streamed through one task
+CROWD = 2048
+#: shingles of all pairs' sets in a job (8 bytes each), each pair counted as OWN more
+JOB, OWN = 1 << 21, 256
 _SEEDS = odd(3, 41)  # of the orders
-_PAIR = "a binary, b binary"
+_PAIR = "a binary, b binary, n int"  # n: the sum of both sizes
 
 
 def sets_of(words: Words, k: int) -> Iterator[np.ndarray]:
@@ -127,12 +131,21 @@ def _signed(batches: Iterator[pa.RecordBatch], k: int, schema: pa.Schema) -> Ite
         yield from frequent()
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch], k: int, rule: Rule, frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """token, sig, n, place, rare of the first order's prefixes; equal texts of a task give theirs once."""
-    names = ["token", "sig", "n", "place", "rare"]
+def _salts(tokens: np.ndarray, sig: bytes, frequent: np.ndarray, often: np.ndarray, crowd: int) -> np.ndarray:
+    """By token: the part of its sets that this one belongs to; -1 where a token's sets are not parted."""
+    if not len(frequent):
+        return np.full(len(tokens), -1, np.int32)
+    at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
+    parts = np.where(frequent[at] == tokens, -(-often[at] // crowd), 1)
+    return np.where(parts > 1, int.from_bytes(sig[:7], "little") % parts, -1).astype(np.int32)
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], k: int, rule: Rule, crowd: int, frequent: np.ndarray, often: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """token, salt, sig, n, place, rare of the first order's prefixes; equal texts of a task give theirs once."""
+    names = ["token", "salt", "sig", "n", "place", "rare"]
     seen: set[bytes] = set()
     for batch in batches:
-        tokens, sigs, ns, places, rares, held = [], [], [], [], [], 0
+        tokens, salts, sigs, ns, places, rares, held = [], [], [], [], [], [], 0
         for s in _texts(batch.column(0), k):
             sig = signature(s)
             if sig is None or rule.alone(len(s)) or sig in seen:
@@ -142,22 +155,23 @@ def _prefixes(batches: Iterator[pa.RecordBatch], k: int, rule: Rule, frequent: n
             in_order, rare = ordered(s, 0, frequent)
             p = rule.prefix(len(s))
             tokens.append(in_order[:p])
+            salts.append(_salts(in_order[:p], sig, frequent, often, crowd))
             sigs.append(sig)
             ns.append(len(s))
             rares.append(rare)
             places.append(p)
             held += p
             if held > 1 << 17:
-                yield _dealt(names, tokens, sigs, ns, places, rares)
-                tokens, sigs, ns, places, rares, held = [], [], [], [], [], 0
+                yield _dealt(names, tokens, salts, sigs, ns, places, rares)
+                tokens, salts, sigs, ns, places, rares, held = [], [], [], [], [], [], 0
         if tokens:
-            yield _dealt(names, tokens, sigs, ns, places, rares)
+            yield _dealt(names, tokens, salts, sigs, ns, places, rares)
 
 
-def _dealt(names: list[str], tokens: list, sigs: list, ns: list, counts: list, rares: list) -> pa.RecordBatch:
+def _dealt(names: list[str], tokens: list, salts: list, sigs: list, ns: list, counts: list, rares: list) -> pa.RecordBatch:
     of = np.repeat(np.arange(len(counts)), counts)
     places = np.concatenate([np.arange(c, dtype=np.int32) for c in counts])
-    columns = [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(sigs, pa.binary()).take(pa.array(of)), pa.array(np.array(ns, np.int32)[of]), pa.array(places), pa.array(np.array(rares, np.int32)[of])]
+    columns = [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(salts)), pa.array(sigs, pa.binary()).take(pa.array(of)), pa.array(np.array(ns, np.int32)[of]), pa.array(places), pa.array(np.array(rares, np.int32)[of])]
     return pa.RecordBatch.from_arrays(columns, names=names)
 
 
@@ -165,31 +179,31 @@ _STREAMED = "token long, a binary, b binary, n int, place int"
 
 
 def _streamed(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
-    """From prefix rows in the order of token, rare, n, sig: pairs (a, b), and the rows of tokens that more than SMALL sets
-    have (a, with b null)."""
+    """From prefix rows in the order of token, salt, rare, n, sig: pairs (a, b, and in n the sum of their sizes), and the rows
+    of tokens that more than SMALL sets have, or whose sets are parted (a, with b null)."""
     names = [x.split()[0] for x in _STREAMED.split(", ")]
     head: dict[str, np.ndarray] = {}  # the first SMALL rows of the last token so far
     count, last = 0, None  # its rows so far, and the last one's set
     for batch in batches:
-        token = batch.column(0).to_numpy()
-        sig = np.array(batch.column(1).to_pylist(), object)
-        n, place = batch.column(2).to_numpy().astype(np.int64), batch.column(3).to_numpy().astype(np.int64)
+        token, salt = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)
+        sig = np.array(batch.column(2).to_pylist(), object)
+        n, place = batch.column(3).to_numpy().astype(np.int64), batch.column(4).to_numpy().astype(np.int64)
         if not len(token):
             continue
         carried = 0
         before = 0
-        if count and token[0] == head["token"][0]:
+        if count and token[0] == head["token"][0] and salt[0] == head["salt"][0]:
             carried, before = len(head["token"]), count
-            token, sig, n, place = (np.concatenate([head[x], y]) for x, y in (("token", token), ("sig", sig), ("n", n), ("place", place)))
+            token, salt, sig, n, place = (np.concatenate([head[x], y]) for x, y in (("token", token), ("salt", salt), ("sig", sig), ("n", n), ("place", place)))
         keep = np.ones(len(token), bool)
-        keep[1:] = (token[1:] != token[:-1]) | (sig[1:] != sig[:-1])
+        keep[1:] = (token[1:] != token[:-1]) | (salt[1:] != salt[:-1]) | (sig[1:] != sig[:-1])
         if carried:
             keep[:carried] = True
             keep[carried] = last != sig[carried]
         at = np.flatnonzero(keep)
-        token, sig, n, place = token[at], sig[at], n[at], place[at]
+        token, salt, sig, n, place = token[at], salt[at], sig[at], n[at], place[at]
         new = at >= carried
-        start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        start = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])]))
         index = np.arange(len(token)) - np.repeat(start, np.diff(np.append(start, len(token))))
         if before > carried:  # the token's rows beyond its head went by earlier
             first_run = int(start[1]) if len(start) > 1 else len(token)
@@ -214,32 +228,33 @@ def _streamed(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.Reco
             pair(begin[far] + c, far)
         x, y = np.concatenate(left), np.concatenate(right)
         # rows of tokens that have more than SMALL: those beyond, and their first ones when the first beyond comes
-        opened = far[index[far] == SMALL]
-        hot = np.concatenate([far, *(begin[opened] + c for c in range(SMALL))]).astype(np.int64)
+        whole = far[salt[far] < 0]
+        opened = whole[index[whole] == SMALL]
+        hot = np.concatenate([whole, *(begin[opened] + c for c in range(SMALL)), row[new & (salt >= 0)]]).astype(np.int64)
         if len(x) + len(hot):
             a = np.where([p < q for p, q in zip(sig[x], sig[y], strict=True)], sig[x], sig[y]) if len(x) else sig[:0]
             b = np.where([p < q for p, q in zip(sig[x], sig[y], strict=True)], sig[y], sig[x]) if len(x) else sig[:0]
-            none = pa.nulls(len(x), pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.concatenate([token[x], token[hot]])),
                     pa.array([*a, *sig[hot]], pa.binary()),
                     pa.concat_arrays([pa.array(list(b), pa.binary()), pa.nulls(len(hot), pa.binary())]),
-                    pa.concat_arrays([none, pa.array(n[hot].astype(np.int32))]),
-                    pa.concat_arrays([none, pa.array(place[hot].astype(np.int32))]),
+                    pa.array(np.concatenate([n[x] + n[y], n[hot]]).astype(np.int32)),
+                    pa.array(np.concatenate([place[x], place[hot]]).astype(np.int32)),
                 ],
                 names=names,
             )
         s = start[-1]
         count, last = int(index[-1]) + 1, sig[-1]
-        head = {k: v[s : s + SMALL] for k, v in (("token", token), ("sig", sig), ("n", n), ("place", place))}
+        head = {k: v[s : s + SMALL] for k, v in (("token", token), ("salt", salt), ("sig", sig), ("n", n), ("place", place))}
 
 
 def _across(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
-    """Pairs of different groups among the rows (token, sig, n, place, root) of each token, in the order of token and n.
+    """Pairs (a, b, n) of different groups among the rows (job, sig, n, place, root, side) of each job, in the order of job and n.
 
-    Only sets whose size allows it are compared, so the rows held are those of a token within a factor of the similarity."""
-    token = n = place = np.zeros(0, np.int64)
+    Rows of side 2 are compared with all others, rows of sides 0 and 1 with the other side.  Only sets whose size allows it
+    are compared, so the rows held are those of a job within a factor of the similarity."""
+    token = n = place = side = np.zeros(0, np.int64)
     sig = root = np.zeros(0, object)
     for batch in batches:
         new = batch.num_rows
@@ -250,20 +265,21 @@ def _across(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.Record
         n = np.concatenate([n, batch.column(2).to_numpy().astype(np.int64)])
         place = np.concatenate([place, batch.column(3).to_numpy().astype(np.int64)])
         root = np.concatenate([root, np.array(batch.column(4).to_pylist(), object)])
-        out: list[tuple[bytes, bytes]] = []
+        side = np.concatenate([side, batch.column(5).to_numpy().astype(np.int64)])
+        out: list[tuple[bytes, bytes, int]] = []
         for y in range(len(token) - new, len(token)):
             lo = int(np.searchsorted(token[:y], token[y]))
             lo += int(np.searchsorted(n[lo:y], -(-rule.num * n[y] // rule.den)))
             x = slice(lo, y)
-            ok = (root[x] != root[y]) & (np.minimum(n[x] - place[x], n[y] - place[y]) >= rule.need(n[x], n[y]))
-            out += [(min(s, sig[y]), max(s, sig[y])) for s in sig[x][ok] if s != sig[y]]
+            ok = (root[x] != root[y]) & ((side[x] != side[y]) | (side[y] == 2)) & (np.minimum(n[x] - place[x], n[y] - place[y]) >= rule.need(n[x], n[y]))
+            out += [(min(s, sig[y]), max(s, sig[y]), int(m + n[y])) for s, m in zip(sig[x][ok], n[x][ok], strict=True) if s != sig[y]]
             if len(out) > 1 << 16 or y == len(token) - 1:
                 out = list(set(out))
-                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.binary()), pa.array([q for _, q in out], pa.binary())], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], t) for i, t in enumerate((pa.binary(), pa.binary(), pa.int32()))], names=["a", "b", "n"])
                 out = []
         lo = int(np.searchsorted(token, token[-1]))
         lo += int(np.searchsorted(n[lo:], -(-rule.num * n[-1] // rule.den)))
-        token, n, place, sig, root = token[lo:], n[lo:], place[lo:], sig[lo:], root[lo:]
+        token, n, place, sig, root, side = token[lo:], n[lo:], place[lo:], sig[lo:], root[lo:], side[lo:]
 
 
 def _sharing(rule: Rule, columns: Sequence[str]):
@@ -272,7 +288,7 @@ def _sharing(rule: Rule, columns: Sequence[str]):
     def of(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
         has = {s: [set(np.frombuffer(v, np.uint64).tolist()) for v in vs] for s, *vs in zip(sets["sig"], *(sets[c] for c in columns), strict=True)}
         keep = [all(not x.isdisjoint(y) for x, y in zip(has[a], has[b], strict=True)) for a, b in zip(pairs["a"], pairs["b"], strict=True)]
-        return pairs.loc[keep, ["a", "b"]]
+        return pairs.loc[keep, ["a", "b", "n"]]
 
     return of
 
@@ -283,7 +299,7 @@ def _similar(rule: Rule):
     def of(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
         has = {s: np.frombuffer(v, np.uint64) for s, v in zip(sets["sig"], sets["whole"], strict=True)}
         keep = [rule.holds(has[a], has[b]) for a, b in zip(pairs["a"], pairs["b"], strict=True)]
-        return pairs.loc[keep, ["a", "b"]]
+        return pairs.loc[keep, ["a", "b", "n"]]
 
     return of
 
@@ -297,18 +313,31 @@ def _neighbourhood(pairs: DataFrame) -> DataFrame:
     return near.join(far, "root").select("node", F.col("far").alias("root"))
 
 
-def _judged(pairs: DataFrame, bring, columns: Sequence[str], judge) -> DataFrame:
-    """Pairs that judge keeps.  Those of a neighbourhood are dealt to jobs of about PAIRS pairs; bring(sigs, columns) makes
-    the sets' columns from the texts, and they move once, to their jobs."""
+def _jobs(pairs: DataFrame) -> DataFrame:
+    """a, b, n, job: pairs dealt to jobs of bounded weight, whatever set or neighbourhood most of them share."""
     root = written(_neighbourhood(pairs), "roots")
     of_a, of_b = (root.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
-    grouped = written(pairs.join(of_a, "a").join(of_b, "b").select("a", "b", F.least("root_a", "root_b").alias("root")), "grouped")
-    size = grouped.groupBy("root").agg(F.ceil(F.count("*") / PAIRS).alias("blocks"))
-    dealt = written(grouped.join(size, "root").select("a", "b", F.xxhash64("root", F.pmod(F.xxhash64("a"), "blocks")).alias("job")), "jobs")
+    weight = (F.col("n") + OWN).cast("long")
+    grouped = written(pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "n", F.xxhash64(F.least("root_a", "root_b")).alias("root")), "grouped")
+    # the tables of what is too large have a row for JOB of all weight at most
+    large = grouped.groupBy("root").agg(F.sum(weight).alias("w")).where(F.col("w") > JOB)
+    large = few(written(large.select("root", F.ceil(F.sqrt(2 * F.col("w") / JOB)).cast("long").alias("side")), "large"))
+    part = lambda c: F.pmod(F.xxhash64(c), F.col("side"))
+    cell = F.when(F.col("side").isNull(), F.col("root")).otherwise(F.xxhash64("root", part("a"), part("b")))
+    cells = written(grouped.join(large, "root", "left").select("a", "b", "n", cell.alias("cell")), "cells")
+    full = cells.groupBy("cell").agg(F.sum(weight).alias("w")).where(F.col("w") > JOB)
+    full = few(written(full.select("cell", F.ceil(2 * F.col("w") / JOB).cast("long").alias("parts")), "full"))
+    job = F.when(F.col("parts").isNull(), F.col("cell")).otherwise(F.xxhash64("cell", F.pmod(F.xxhash64("a", "b"), "parts")))
+    return written(cells.join(full, "cell", "left").select("a", "b", "n", job.alias("job")), "jobs")
+
+
+def _judged(pairs: DataFrame, bring, columns: Sequence[str], judge) -> DataFrame:
+    """Pairs that judge keeps, job by job; bring(sigs, columns) makes the sets' columns from the texts, and they move once, to
+    their jobs."""
+    dealt = _jobs(pairs)
     wanted = dealt.select("job", F.col("a").alias("sig")).unionByName(dealt.select("job", F.col("b").alias("sig"))).distinct()
     wanted = written(wanted, "wanted")
-    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    brought = bring(wanted.select("sig"), columns).join(few, "sig").select("job", "sig", *columns)
+    brought = bring(wanted.select("sig"), columns).join(few(wanted), "sig").select("job", "sig", *columns)
     return written(dealt.withColumnRenamed("job", "its_job").groupBy("its_job").cogroup(brought.groupBy("job")).applyInPandas(lambda p, s: judge(p, s), _PAIR), "kept")
 
 
@@ -317,10 +346,11 @@ class Join:
 
     links are enough for the groups, and all there are with `every_link`."""
 
-    def __init__(self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ("doc_id",), words: int = 3, num: int = 90, den: int = 100, every_link: bool = False) -> None:
+    def __init__(self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ("doc_id",), words: int = 3, num: int = 90, den: int = 100, every_link: bool = False, crowd: int = CROWD) -> None:
         spark, rule = docs.sparkSession, Rule(num, den)
+        bounded_batches(spark)
         text = F.col(f"`{text_col}`").cast("string").alias("text")
-        key = F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
+        key = identity(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
         own = docs.select(F.struct(F.col(f"`{id_col}`").alias("id"), key.alias("key"), F.struct(*(F.col(f"`{c}`") for c in carry)).alias("row")).alias("r"), text)
         schema = own.select("r").withColumns({"n": F.lit(0).cast("long"), "sig": F.lit(None).cast("binary"), "token": F.lit(0).cast("long"), "often": F.lit(0).cast("long")}).schema
         for f in schema.fields:
@@ -336,14 +366,18 @@ class Join:
 
         table = written(own.mapInArrow(signed, schema), "signatures")
         self.rows = table.where("r is not null").select("r.row", "r.id", "r.key", "n", "sig")
-        self._keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), key.alias("key"))
+        every = [F.col(f"`{c}`") for c in docs.columns]
+        self._keyed = docs.select(F.struct(*every).alias("row"), key.alias("key"), identity(*every).alias("whole"))
         often = table.where("token is not null").groupBy("token").agg(F.sum("often").alias("often")).orderBy(F.desc("often"), "token").limit(FREQUENT)
-        frequent = spark.sparkContext.broadcast(np.sort(np.array([r["token"] for r in often.select("token").collect()], np.int64).view(np.uint64)))
+        known = often.toArrow()
+        tokens, counts = (known.column(i).to_numpy() for i in (0, 1))
+        in_order = np.argsort(tokens.view(np.uint64))
+        frequent = shared(spark, (tokens.view(np.uint64)[in_order], counts[in_order]))
 
-        prefixes = docs.select(text).mapInArrow(lambda rows: _prefixes(rows, words, rule, frequent.value), "token long, sig binary, n int, place int, rare int")
-        dealt = prefixes.repartition("token").sortWithinPartitions("token", "rare", "n", "sig")
+        prefixes = docs.select(text).mapInArrow(lambda rows: _prefixes(rows, words, rule, crowd, *frequent.value), "token long, salt int, sig binary, n int, place int, rare int")
+        dealt = prefixes.repartition("token", "salt").sortWithinPartitions("token", "salt", "rare", "n", "sig")
         streamed = written(dealt.mapInArrow(lambda rows: _streamed(rows, rule), _STREAMED), "candidates")
-        pairs = written(streamed.where("b is not null").select("a", "b").distinct(), "pairs")
+        pairs = written(streamed.where("b is not null").select("a", "b", "n").distinct(), "pairs")
         crowded = streamed.where("b is null").select("token", F.col("a").alias("sig"), "n", "place")
 
         def bring(sigs: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -353,9 +387,15 @@ class Join:
         links = self._verified(pairs, rule)
         groups = components(links)
         rooted = crowded.join(groups.withColumnRenamed("node", "sig"), "sig", "left").select("token", "sig", "n", "place", F.coalesce("root", "sig").alias("root"))
-        split_ = rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
-        far = crowded.withColumn("root", F.col("sig")) if every_link else rooted.join(split_, "token", "left_semi")
-        more = far.repartition("token").sortWithinPartitions("token", "n", "sig")
+        if every_link:
+            rooted = crowded.withColumn("root", F.col("sig"))
+        rooted = written(rooted, "crowded")
+        split_ = rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
+        split_ = few(written(split_.select("token", F.ceil(F.col("n") / crowd).cast("int").alias("blocks")), "split"))
+        far = rooted.join(split_, "token").withColumn("i", F.pmod(F.xxhash64("sig"), "blocks")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        job = F.xxhash64("token", F.least("i", "j"), F.greatest("i", "j")).alias("job")
+        far = far.select(job, "sig", "n", "place", "root", F.when(F.col("i") == F.col("j"), 2).when(F.col("i") < F.col("j"), 0).otherwise(1).alias("side"))
+        more = far.repartition("job").sortWithinPartitions("job", "n", "sig")
         more = more.mapInArrow(lambda rows: _across(rows, rule), _PAIR).distinct().join(pairs, ["a", "b"], "left_anti")
         more = written(more, "more-pairs")
         if not more.isEmpty():
@@ -368,8 +408,7 @@ class Join:
         """sig and columns of the sets in sigs, from the text of one row of each class: `whole`, or the other orders'
         prefixes `second` and `third`.  Of equal rows a task makes the columns once."""
         rep = self.rows.where("sig is not null").groupBy("sig").agg(F.min("key").alias("key"))
-        wanted = written(rep.join(sigs.distinct(), "sig", "left_semi").select("key").distinct(), "wanted-keys")
-        wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+        wanted = few(written(rep.join(sigs.distinct(), "sig", "left_semi").select("key").distinct(), "wanted-keys"))
         made = {"whole": lambda s: s, "second": lambda s: ordered(s, 1, s[:0])[0][: rule.prefix(len(s))], "third": lambda s: ordered(s, 2, s[:0])[0][: rule.prefix(len(s))]}
 
         def make():
@@ -380,7 +419,8 @@ class Join:
                 for s in _texts(batch, words):
                     sig = signature(s)
                     values = [None] * len(out) if sig in seen else [sig, *(made[c](s).tobytes() for c in columns)]
-                    seen.add(sig)
+                    if len(seen) < 1 << 17:
+                        seen.add(sig)
                     for column, value in zip(out, values, strict=True):
                         column.append(value)
                 return [pa.array(c, pa.binary()) for c in out]
@@ -407,16 +447,11 @@ class Join:
         slim = self.rows.select("id", "key", "sig").where("sig is not null").join(self.classes().select("sig", "root"), "sig")
         slim = written(slim.groupBy("root", "id", "key").agg(F.count("*").alias("n")), "grouped")
         best = slim.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("best")).select("root", "best.key")
-        gone = self._listed(slim.join(best, ["root", "key"], "left_anti").select("key").distinct(), "gone")
-        twice = self._listed(slim.where("n > 1").join(best, ["root", "key"], "left_semi").select("key").distinct(), "twice")
+        gone = few(written(slim.join(best, ["root", "key"], "left_anti").select("key").distinct(), "gone"))
+        twice = few(written(slim.where("n > 1").join(best, ["root", "key"], "left_semi").select("key").distinct(), "twice"))
         left = self._keyed.join(gone, "key", "left_anti")
-        once = left.join(twice, "key", "left_anti").unionByName(left.join(twice, "key", "left_semi").dropDuplicates(["key"]))
-        return once.select("row.*")
-
-    @staticmethod
-    def _listed(keys: DataFrame, label: str) -> DataFrame:
-        keys = written(keys, label)
-        return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+        one = left.join(twice, "key", "left_semi").groupBy("key").agg(F.min_by("row", "whole").alias("row"))
+        return left.join(twice, "key", "left_anti").select("row").unionByName(one.select("row")).select("row.*")
 
     def result(self) -> DataFrame:
         """row (the carried columns), id, n_shingles, component_id of every row."""

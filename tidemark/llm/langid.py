@@ -6,9 +6,13 @@ their numbers.  A bounded sample of labelled documents (`per_lang` for each lang
 some are Nystrom landmarks, one-versus-rest kernel ridge regression gives each language a weight for each landmark, and a
 batch of texts is scored by two matrix products.
 
+The model's size is bounded by its documented parameters: at most `max_langs` languages are learned, those of most documents (ties
+by code point), with at most `n_landmarks` landmarks, or two a language if that is more.
+
 Defined results: a null text, or one without any letter, is `und` with score 0; a null lang is never learned from, nor is a
 row without an id; with nothing to learn from all texts are `und`; equal scores go to the first language by code point;
-repeated rows are judged alike; other columns are carried as they are; an empty table gives an empty result.
+repeated rows are judged alike; texts of any length are read whole; other columns are carried as they are; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.arrow import map_texts
+from tidemark.llm.store import shared
 from tidemark.llm.words import LOWER, pieces
 
 BITS = 14
@@ -110,14 +115,15 @@ def held_out(id_: Column) -> Column:
     return F.coalesce(F.crc32(id_.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, per_lang: int, max_sample: int, n_landmarks: int, ridge: float, sharpness: float) -> Model | None:
+def train(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, per_lang: int, max_sample: int, max_langs: int, n_landmarks: int, ridge: float, sharpness: float) -> Model | None:
     """Learns from at most per_lang documents of each language, those of least hash, and max_sample in all."""
     id_, lang = F.col(f"`{id_col}`"), F.col(f"`{lang_col}`")
     own = docs.select(id_.alias("id"), lang.alias("lang"), F.col(f"`{text_col}`").alias("text")).where(F.col("lang").isNotNull() & F.col("id").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id")))
-    counts = {r["lang"]: r["count"] for r in own.groupBy("lang").count().collect()}  # a row for each language
+    most = own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max(1, min(max_langs, max_sample // 2)))
+    counts = {r["lang"]: r["count"] for r in most.collect()}
     if not counts:
         return None
-    each = max(2, min(per_lang, max_sample // len(counts)))
+    each = min(per_lang, max_sample // len(counts))  # 2 at least, as languages are
     # the least hashes of a language lie below this share of it, so that few texts are moved
     share = F.create_map(*(F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, (2 * each + 50) / n))))
     draw = F.pmod(F.xxhash64(F.lit(6), "id"), F.lit(1 << 30)).alias("draw")
@@ -142,14 +148,15 @@ def identify(
     carry: Sequence[str] = ("doc_id",),
     per_lang: int = 512,
     max_sample: int = 8192,
+    max_langs: int = 256,
     n_landmarks: int = 256,
     ridge: float = 1e-5,
     sharpness: float = 4.0,
 ) -> DataFrame:
     """row (the carried columns), lang_pred, score."""
-    model = train(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, per_lang=per_lang, max_sample=max_sample, n_landmarks=n_landmarks, ridge=ridge, sharpness=sharpness)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # DIM x landmarks numbers of 4 bytes
-    return map_texts(docs, text_col, carry, lambda: _predictor(shared.value), "lang_pred string, score double")
+    model = train(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, per_lang=per_lang, max_sample=max_sample, max_langs=max_langs, n_landmarks=n_landmarks, ridge=ridge, sharpness=sharpness)
+    scorer = shared(docs.sparkSession, model)  # DIM x landmarks numbers of 4 bytes
+    return map_texts(docs, text_col, carry, lambda: _predictor(scorer.value), "lang_pred string, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,8 +10,12 @@ brings the sum nearer.  Where the prefix by hash stops is found from two histogr
 source's documents are ever sorted or gathered in one place, only those of one cell in 16 million.  The step is repeated on
 the documents after the stop that still fit, until none or at most `_FEW` remain, which are tried one by one.
 
+Tables by source, and the list of documents taken beyond a prefix, are broadcast where their bytes allow it, so texts aren't
+moved; where there are too many sources they are joined by a shuffle.
+
 Defined results: null text has size 0; a null source is a source of its own, the last; a source of size 0 has target 0;
-repeated rows and null ids are documents like others; empty tables give empty results; other columns are not read.
+repeated rows and null ids are documents like others, equal hashes go by the order of rows; texts of any length count whole;
+empty tables give empty results; columns that aren't carried are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.store import written
+from tidemark.llm.store import few, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -77,6 +81,7 @@ def _limit(cells: DataFrame, goal: str, cell: str, out: str) -> DataFrame:
 
 
 def _joined(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
+    """By source, null being one; the right table has a row for each source, or for each of a bounded number of cells."""
     return left.join(right.withColumnRenamed("source", "its"), F.col("source").eqNullSafe(F.col("its")), how).drop("its")
 
 
@@ -85,15 +90,16 @@ def _stops(rows: DataFrame, goals: DataFrame) -> DataFrame:
 
     rows: source, size, at, whose order is the hash's; goals: source, goal.  A source that its goal wholly covers has no row."""
     rows = rows.select("source", "size", "at", F.col("at.c1").alias("c1"), F.col("at.c2").alias("c2"))
+    goals = few(written(goals, "goals"))
     hist1 = written(rows.groupBy("source", "c1").agg(F.sum("size").alias("words")), "cells")
     at1 = _joined(_limit(_joined(hist1, goals), "goal", "c1", "b1"), goals).select("source", "b1", (F.col("goal") - F.col("under")).alias("goal1"))
-    at1 = written(at1, "limit1")
+    at1 = few(written(at1, "limit1"))
     hist2 = _joined(rows, at1).where("c1 = b1").groupBy("source", "c2", "goal1").agg(F.sum("size").alias("words"))
     at2 = _joined(_limit(hist2, "goal1", "c2", "b2"), at1).select("source", "b1", "b2", (F.col("goal1") - F.col("under")).alias("goal2"))
-    inside2 = _joined(rows, written(at2, "limit2")).where("c1 = b1 and c2 = b2")
+    inside2 = _joined(rows, few(written(at2, "limit2"))).where("c1 = b1 and c2 = b2")
     upto = inside2.withColumn("upto", F.sum("size").over(Window.partitionBy("source").orderBy("at"))).where("upto > goal2")
     first = upto.groupBy("source").agg(F.min(F.struct("at", (F.col("goal2") - F.col("upto") + F.col("size")).alias("left"))).alias("x"))
-    return written(first.select("source", F.col("x.at").alias("stop"), F.col("x.left").alias("left")), "stops")
+    return few(written(first.select("source", F.col("x.at").alias("stop"), F.col("x.left").alias("left")), "stops"))
 
 
 def _first_fit(rows: pd.DataFrame) -> pd.DataFrame:
@@ -115,8 +121,8 @@ def _later(slim: DataFrame, stops: DataFrame) -> DataFrame:
     out = None
     while True:
         rest = written(rest, "rest")
-        few = rest.count() <= _FEW
-        if few:
+        last = rest.count() <= _FEW
+        if last:
             flat = rest.select("source", "size", "left", "at.*")
             found = flat.groupBy("source").applyInPandas(_first_fit, flat.select("row_id", "size", "source").schema)
         else:
@@ -126,7 +132,7 @@ def _later(slim: DataFrame, stops: DataFrame) -> DataFrame:
             rest = reached.where("at > stop and size <= left").drop("stop")
         found = written(found.select("source", "row_id", "size"), "later")
         out = found if out is None else out.unionByName(found)
-        if few:
+        if last:
             return out
 
 
@@ -160,13 +166,13 @@ def mix_sources(
     stops = _stops(slim, by_source.where("goal > 0").select("source", "goal"))
     later = _later(slim, stops)
     used = later.groupBy("source").agg(F.sum("size").alias("used"))
-    lack = _joined(stops, used, "left").select("source", "stop", (F.col("left") - F.coalesce("used", F.lit(0))).alias("lack"))
+    lack = few(written(_joined(stops, used, "left").select("source", "stop", (F.col("left") - F.coalesce("used", F.lit(0))).alias("lack")), "lack"))
     over = _joined(slim.where("size > 0"), lack).where("at >= stop and size < 2 * lack").select("source", "size", "at", F.col("at.row_id").alias("row_id"))
     over = over.join(later.select("row_id"), "row_id", "left_anti")  # all larger than what lacks: one more brings the sum nearer than none
     over = over.groupBy("source").agg(F.min(F.struct("size", "at")).alias("x")).select("x.at.row_id")
-    more = written(later.select("row_id").unionByName(over).withColumn("more", F.lit(1)), "extra")
+    more = few(written(later.select("row_id").unionByName(over).withColumn("more", F.lit(1)), "extra"))
 
-    limits = _joined(by_source, stops.select("source", "stop"), "left")
+    limits = few(written(_joined(by_source, stops.select("source", "stop"), "left"), "limits"))
     out = _joined(sizes.withColumn("at", at), limits, "left").join(more, "row_id", "left")
     once = F.when((F.col("at") < F.col("stop")) | F.col("more").isNotNull(), F.lit(1)).otherwise(F.lit(0))
     copies = (F.col("whole") + once).cast("long")
@@ -176,3 +182,23 @@ def mix_sources(
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return mix_sources(docs).select("row.doc_id", "size", "source_size", "target", "taken")
+
+
+def targets_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return query(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+
+
+#: sizes and targets can be written in SQL; the weights repeat along the sources, and the level rises until no source is above its cap
+TARGETS_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5.0, 2.0, 1.0][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INTEGER) + 1] AS w FROM d GROUP BY source),
+t AS (SELECT CAST(sum(source_size) AS DOUBLE) AS total FROM s),
+level(i, l) AS (
+  SELECT 0, (SELECT total FROM t) / (SELECT CAST(sum(w) AS DOUBLE) FROM s WHERE source_size > 0)
+  UNION ALL
+  SELECT i + 1, ((SELECT total FROM t) - coalesce((SELECT sum(3.0 * source_size) FROM s WHERE source_size > 0 AND CAST(w AS DOUBLE) * l > 3.0 * source_size), 0))
+    / (SELECT CAST(sum(w) AS DOUBLE) FROM s WHERE source_size > 0 AND CAST(w AS DOUBLE) * l <= 3.0 * source_size)
+  FROM level WHERE i < 30)
+SELECT doc_id, size, source_size, round(CASE WHEN source_size > 0 THEN least(CAST(w AS DOUBLE) * (SELECT max(l) FROM level), 3.0 * source_size) ELSE 0.0 END, 3) AS target
+FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source
+"""

@@ -4,19 +4,25 @@ A window is `n` consecutive words.  Every window that also starts in a document
 it covers are removed, in four steps:
 
 1. Sieve: of a document's 5-word grams the least hash of each n - 4 neighbours is an anchor, so a window has an anchor that
-   depends on its words only.  Anchors are shuffled once and streamed in order; those of one document only are dropped.
-   Runs of windows whose anchor recurs are the candidate passages; all later steps move those alone.
-2. Confirm: the passages' windows are shuffled by hash and streamed in the order of ids; the first is the owner's, and each
-   later one of another document is a repetition.  Of these, every n-th of a run and its last cover all of its words.
-3. The text of those windows is taken from the owner's passage and sent to the shards of the passages that repeat them.
+   depends on its words only.  Anchors that one document only has are dropped.  Runs of windows whose anchor recurs are the
+   candidate passages, cut from every document; all later steps move those alone.  Passages are numbered off into parts of
+   PART_BYTES of text.
+2. Confirm: each part sends each of its windows' hashes once, with the least and the greatest place it has it at; of a
+   window's rows the first is the owner's, and the parts that have it at a later place are told.  A part then finds the windows
+   that are repetitions among its own words.  Of a run of these, every n-th and the last cover all of its words.
+3. The text of those windows, which are the repeated phrases, is taken from the owner's passage, once for each shard.
 4. Each shard (a bounded number of phrases) compiles an Aho-Corasick automaton and streams its passages through it; every
    occurrence in a document that comes after the owner is located in the words themselves, whatever the hashes said.
 
-Streams hold a row or two, automata have a bounded size, and no step gathers the rows of a phrase, whoever shares it.
+A window that a third of all documents share is a row for each part in step 2 and for each shard in step 3.  What is streamed
+in step 4 is the candidate passages of all documents, each through the automaton of its shard, which has the phrases of these
+passages: whole texts through all automata would be as many passes over the corpus as there are shards, a number that grows with
+the corpus, and a word outside the passages cannot be repeated.
 
 Defined results: null texts and texts of fewer than n words lose nothing; a row without an id comes after all others, and
-rows of equal id (or none) are not before each other; repeated rows are judged alike; other columns are carried as they
-are; an empty table gives an empty result.
+rows of equal id (or none) are not before each other; ids are numbers or texts of numbers, any other text counts as no id;
+repeated rows are judged alike; texts of any length are read whole; other columns are carried as they are; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -27,19 +33,20 @@ import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.arrow import map_texts
-from tidemark.llm.store import written
+from tidemark.llm.store import bounded_batches, few, identity, shared, written
 from tidemark.llm.words import BLANKS, grams, minima, pieces, split
 
 N = 13
 K = 5
 #: recurring anchors that are broadcast as a sorted array (8 bytes each); more are joined to their documents by a shuffle
 BROADCAST_ANCHORS = 4_000_000
-#: documents' removed spans that are broadcast (about 100 bytes each); more are joined by a shuffle
-BROADCAST_ROWS = 250_000
+#: text of a part's passages; the arrays made of it take some 40 times as much
+PART_BYTES = 1 << 20
 #: phrases of a shard; their automaton takes some 100 MB
 SHARD = 8_000
 LAST = (1 << 63) - 1  # the place of rows without an id
@@ -52,11 +59,11 @@ def anchors(h: np.ndarray, n: int, k: int) -> np.ndarray:
     return g[at]
 
 
-def _anchor_rows(batches: Iterator[pa.RecordBatch], n: int, k: int, keyed: bool) -> Iterator[pa.RecordBatch]:
-    """anchor and the document's place (or its key) in the order of ids, once for each document."""
+def _anchor_rows(batches: Iterator[pa.RecordBatch], n: int, k: int) -> Iterator[pa.RecordBatch]:
+    """anchor and the document's columns before its text, once for each document."""
     for batch in batches:
-        whose = batch.column(1 if keyed else 0).to_numpy()
-        for i, j, data, offsets in pieces(batch.column(2)):
+        own = batch.schema.names[:-1]
+        for i, j, data, offsets in pieces(batch.column(len(own))):
             words = split(data, offsets, BLANKS)
             doc = words.doc_of()
             if len(words.hash) < n:
@@ -66,17 +73,8 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], n: int, k: int, keyed: bool)
             fresh = np.ones(len(a), bool)
             fresh[1:] = (a[1:] != a[:-1]) | (d[1:] != d[:-1])
             if fresh.any():
-                yield pa.RecordBatch.from_arrays([pa.array(a[fresh].view(np.int64)), pa.array(whose[i:j][d[fresh]])], names=["anchor", "whose"])
-
-
-def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows in the order of anchor and place: anchors of more than one document."""
-    last = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for batch in batches:
-        a, d = (np.concatenate([x, batch.column(i).to_numpy()]) for i, x in enumerate(last))
-        hit = (a[1:] == a[:-1]) & (d[1:] != d[:-1])
-        yield pa.RecordBatch.from_arrays([pa.array(np.unique(a[1:][hit]))], names=["anchor"])
-        last = a[-1:], d[-1:]
+                at = pa.array(i + d[fresh])
+                yield pa.RecordBatch.from_arrays([pa.array(a[fresh].view(np.int64)), *(batch.column(c).take(at) for c in range(len(own)))], names=["anchor", *own])
 
 
 def _passages(data: np.ndarray, offsets: np.ndarray, n: int, k: int, known: np.ndarray) -> list[list[dict]]:
@@ -101,57 +99,97 @@ def _passages(data: np.ndarray, offsets: np.ndarray, n: int, k: int, known: np.n
     return out
 
 
+def _numbered(found: list[list[dict]], state: dict[str, int]) -> list[list[dict]]:
+    """The passages of a task with their parts: the task's number, then that of each stretch of PART_BYTES."""
+    for passages in found:
+        for p in passages:
+            p["part"] = (state["task"] << 32) + state["bytes"] // state["part"]
+            state["bytes"] += len(p["text"])
+    return found
+
+
+def _numbering(part_bytes: int) -> dict[str, int]:
+    return {"task": TaskContext.get().partitionId(), "bytes": 0, "part": part_bytes}
+
+
+def _windows(text: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all windows of the passages: hash, row of the passage, first word."""
+    out = []
+    for i, _, data, offsets in pieces(text):
+        words = split(data, offsets, BLANKS)
+        doc = words.doc_of()
+        inside = np.flatnonzero(doc[: len(doc) - n + 1] == doc[n - 1 :]) if len(doc) >= n else np.zeros(0, np.int64)
+        out.append((grams(words.hash, n)[inside].view(np.int64), i + doc[inside], inside - words.first[doc[inside]]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
+
+
+_WINDOW = "window long, place long, most long, part long, passage long, pos int"
+
+
 def _window_rows(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """window, place, passage, pos of all windows of the passages (passage, place, text)."""
+    """From passages (passage, place, part, text): each window of a part once, with its first place, passage and position,
+    and the greatest place."""
     for batch in batches:
-        passage, place = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        for i, j, data, offsets in pieces(batch.column(2)):
-            words = split(data, offsets, BLANKS)
-            doc = words.doc_of()
-            if len(doc) < n:
-                continue
-            inside = np.flatnonzero(doc[: len(doc) - n + 1] == doc[n - 1 :])
-            d = doc[inside]
-            yield pa.RecordBatch.from_arrays([pa.array(grams(words.hash, n)[inside].view(np.int64)), pa.array(place[i:j][d]), pa.array(passage[i:j][d]), pa.array((inside - words.first[d]).astype(np.int32))], names=["window", "place", "passage", "pos"])
+        window, row, pos = _windows(batch.column(3), n)
+        passage, place, part = (batch.column(i).to_numpy()[row] for i in range(3))
+        order = np.lexsort((pos, passage, place, window, part))
+        window, place, part, passage, pos = (x[order] for x in (window, place, part, passage, pos))
+        new = np.ones(len(window), bool)
+        new[1:] = (window[1:] != window[:-1]) | (part[1:] != part[:-1])
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(window)) - 1
+        columns = [window[first], place[first], place[last], part[first], passage[first], pos[first].astype(np.int32)]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=[x.split()[0] for x in _WINDOW.split(", ")])
 
 
-_REPEATED = "passage long, pos int, owner long, owner_pos int, owner_place long"
+_OWNED = "its_part long, window long, owner_place long, owner long, owner_pos int"
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows in the order of window and place: those after the owner's, with the owner's window."""
-    first: list[np.ndarray] = [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.int32)]
+def _owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows in the order of window, place, passage and pos: for each part that has a window after its first place, where
+    the first is."""
+    first: list[np.ndarray] = [np.zeros(0, np.int64)] * 5 + [np.zeros(0, np.int32)]
     for batch in batches:
-        window, place, passage, pos = (np.concatenate([x, batch.column(i).to_numpy()]) for i, x in enumerate(first))
+        window, place, most, part, passage, pos = (np.concatenate([x, batch.column(i).to_numpy()]) for i, x in enumerate(first))
+        if not len(window):
+            continue
+        carried = len(first[0])
         start = np.flatnonzero(np.concatenate([[True], window[1:] != window[:-1]]))
         of = np.repeat(start, np.diff(np.append(start, len(window))))
-        later = np.flatnonzero(place > place[of])
-        own = of[later]
-        yield pa.RecordBatch.from_arrays([pa.array(passage[later]), pa.array(pos[later]), pa.array(passage[own]), pa.array(pos[own]), pa.array(place[own])], names=[x.split()[0] for x in _REPEATED.split(", ")])
+        later = most > place[of]
+        later[:carried] = False  # told before
+        at = np.flatnonzero(later)
+        own = of[at]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (part[at], window[at], place[own], passage[own], pos[own])], names=[x.split()[0] for x in _OWNED.split(", ")])
         s = start[-1]
-        first = [x[s : s + 1] for x in (window, place, passage, pos)]
+        first = [x[s : s + 1] for x in (window, place, most, part, passage, pos)]
 
 
-def _covering(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """From rows in the order of passage and pos: of each run of positions every n-th and the last."""
-    held: pa.RecordBatch | None = None  # the last row, which may or may not be the last of its run
-    since = 0  # rows of its run before it
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = batch if held is None else pa.concat_batches([held, batch])
-        passage, pos = rows.column(0).to_numpy(), rows.column(1).to_numpy()
-        joins = np.concatenate([[False], (passage[1:] == passage[:-1]) & (pos[1:] == pos[:-1] + 1)])
+_COVER = pa.schema([("passage", pa.int64()), ("owner", pa.int64()), ("owner_pos", pa.int32()), ("owner_place", pa.int64())])
+
+
+def _covering(n: int):
+    """A part's owned windows and its passages: of each run of repeated windows every n-th and the last."""
+
+    def of(owned: pa.Table, passages: pa.Table) -> pa.Table:
+        if not owned.num_rows or not passages.num_rows:
+            return _COVER.empty_table()
+        known, at = np.unique(owned.column("window").to_numpy(), return_index=True)
+        owner_place, owner, owner_pos = (owned.column(c).to_numpy()[at] for c in ("owner_place", "owner", "owner_pos"))
+        window, row, pos = _windows(passages.column("text"), n)
+        its = np.minimum(np.searchsorted(known, window), len(known) - 1)
+        hit = (known[its] == window) & (passages.column("place").to_numpy()[row] > owner_place[its])
+        its, row, pos = its[hit], row[hit], pos[hit]
+        if not len(row):
+            return _COVER.empty_table()
+        joins = np.concatenate([[False], (row[1:] == row[:-1]) & (pos[1:] == pos[:-1] + 1)])
         start = np.flatnonzero(~joins)
         index = np.arange(len(pos)) - np.repeat(start, np.diff(np.append(start, len(pos))))
-        if held is not None:
-            index[: start[1] if len(start) > 1 else len(pos)] += since
-        keep = (index % n == 0) | np.concatenate([~joins[1:], [False]])
-        keep[-1] = False
-        yield rows.filter(pa.array(keep))
-        held, since = rows.slice(rows.num_rows - 1), int(index[-1])
-    if held is not None:
-        yield held
+        keep = (index % n == 0) | np.concatenate([~joins[1:], [True]])
+        its = its[keep]
+        return pa.table([pa.array(passages.column("passage").to_numpy()[row[keep]]), pa.array(owner[its]), pa.array(owner_pos[its]), pa.array(owner_place[its])], schema=_COVER)
+
+    return of
 
 
 def _phrase_texts(n: int):
@@ -170,17 +208,17 @@ def _phrase_texts(n: int):
 
 
 def _located(n: int):
-    """A shard's phrases (phrase, owner_place) and passages (key, place, start, text): spans of words to remove, by key."""
+    """A shard's phrases (phrase, owner_place) and passages (h1, h2, place, start, text): spans of words to remove, by h1, h2."""
 
     def of(phrases: pd.DataFrame, passages: pd.DataFrame) -> pd.DataFrame:
         automaton = ahocorasick.Automaton()
         for phrase, owner in zip(phrases["phrase"], phrases["owner_place"], strict=True):
             automaton.add_word(f" {phrase} ", (len(phrase) + 1, int(owner)))
         if not len(automaton) or not len(passages):
-            return pd.DataFrame({"key": [], "first": [], "last": []})
+            return pd.DataFrame({c: [] for c in ("h1", "h2", "first", "last")})
         automaton.make_automaton()
         out = []
-        for key, place, start, text in zip(passages["key"], passages["place"], passages["start"], passages["text"], strict=True):
+        for h1, h2, place, start, text in zip(*(passages[c] for c in ("h1", "h2", "place", "start", "text")), strict=True):
             text = f" {text} "
             begin: list[int] = []
             for end, (length, owner) in automaton.iter(text):
@@ -192,58 +230,65 @@ def _located(n: int):
             at = np.unique(np.searchsorted(blanks, begin))
             cut = np.flatnonzero(np.diff(at) > n)
             first, last = at[np.concatenate([[0], cut + 1])], at[np.concatenate([cut, [len(at) - 1]])] + n
-            out += [(key, int(start + x), int(start + y)) for x, y in zip(first, last, strict=True)]
-        return pd.DataFrame(out, columns=["key", "first", "last"])
+            out += [(h1, h2, int(start + x), int(start + y)) for x, y in zip(first, last, strict=True)]
+        return pd.DataFrame(out, columns=["h1", "h2", "first", "last"])
 
     return of
 
 
-def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = N, k: int = K) -> DataFrame:
-    """key (xxhash64 of id and text) and spans (first word, word after the last) of each document that repeats a phrase."""
+def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = N, k: int = K, part_bytes: int = PART_BYTES) -> DataFrame:
+    """h1, h2 (the identity of id and text) and spans (first word, word after the last) of each document that repeats a phrase."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     text = F.col(f"`{text_col}`").cast("string").alias("text")
-    key = F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("key")
-    place = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST)).alias("place")
-    own = docs.select(place, key, text)
+    key = identity(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
+    place = F.coalesce(F.col(f"`{id_col}`").try_cast("long"), F.lit(LAST)).alias("place")
+    own = docs.select(place, key.alias("key"), text).select("place", "key.*", "text")
 
-    rows = own.mapInArrow(lambda b: _anchor_rows(b, n, k, False), "anchor long, whose long")
-    known = written(rows.repartition("anchor").sortWithinPartitions("anchor", "whose").mapInArrow(_recurring, "anchor long").distinct(), "anchors")
+    places = own.select("place", "text").mapInArrow(lambda b: _anchor_rows(b, n, k), "anchor long, place long").groupBy("anchor")
+    known = written(places.agg(F.min("place").alias("lo"), F.max("place").alias("hi")).where("lo < hi").select("anchor"), "anchors")
+    schema = "place long, h1 long, h2 long, found array<struct<start:int,text:string,part:long>>"
     if known.count() <= BROADCAST_ANCHORS:
-        sieve = spark.sparkContext.broadcast(np.sort(known.toArrow().column(0).to_numpy().view(np.uint64)))
+        sieve = shared(spark, np.sort(known.toArrow().column(0).to_numpy().view(np.uint64)))
 
-        def cut(texts: pa.Array) -> list[pa.Array]:
-            return [pa.array([x for _, _, data, offsets in pieces(texts) for x in _passages(data, offsets, n, k, sieve.value)], _PASSAGES)]
+        def make():
+            state = _numbering(part_bytes)
+            return lambda texts: [pa.array([x for _, _, data, offsets in pieces(texts) for x in _numbered(_passages(data, offsets, n, k, sieve.value), state)], _PASSAGES)]
 
-        found = map_texts(docs.select(place, key, text), "text", ["place", "key"], lambda: cut, "found array<struct<start:int,text:string>>")
-        found = found.select("row.place", "row.key", F.explode("found").alias("p"))
+        found = map_texts(own, "text", ["place", "h1", "h2"], make, schema[schema.index("found") :]).select("row.*", "found")
     else:
-        by_key = own.mapInArrow(lambda b: _anchor_rows(b, n, k, True), "anchor long, whose long").join(known, "anchor").groupBy(F.col("whose").alias("key")).agg(F.collect_set("anchor").alias("anchors"))
+        by_key = own.mapInArrow(lambda b: _anchor_rows(b, n, k), "anchor long, place long, h1 long, h2 long").join(known, "anchor")
+        by_key = by_key.groupBy("h1", "h2").agg(F.collect_set("anchor").alias("anchors"))  # as many as a text has
 
         def cut_own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            state = _numbering(part_bytes)
             for batch in batches:
-                made = [_passages(np.frombuffer((t or "").encode(), np.uint8), np.array([0, len((t or "").encode())]), n, k, np.sort(np.array(a, np.int64).view(np.uint64)))[0] for t, a in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, _PASSAGES)], names=["place", "key", "found"])
+                # an anchor that recurs does so in every text that has it, so one array serves the batch
+                sieve = np.unique(batch.column(4).flatten().to_numpy().view(np.uint64))
+                made = [x for _, _, data, offsets in pieces(batch.column(3)) for x in _numbered(_passages(data, offsets, n, k, sieve), state)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(made, _PASSAGES)], names=["place", "h1", "h2", "found"])
 
-        joined = own.join(by_key, "key").select("place", "key", "text", "anchors")
-        found = joined.mapInArrow(cut_own, "place long, key long, found array<struct<start:int,text:string>>").select("place", "key", F.explode("found").alias("p"))
-    passages = written(found.select("place", "key", "p.start", "p.text", F.monotonically_increasing_id().alias("passage")), "passages")
+        found = own.join(by_key, ["h1", "h2"]).select("place", "h1", "h2", "text", "anchors").mapInArrow(cut_own, schema)
+    passages = written(found.select("place", "h1", "h2", F.explode("found").alias("p")).select("place", "h1", "h2", "p.*", F.monotonically_increasing_id().alias("passage")), "passages")
 
-    windows = passages.select("passage", "place", "text").mapInArrow(lambda b: _window_rows(b, n), "window long, place long, passage long, pos int")
-    repeated = windows.repartition("window").sortWithinPartitions("window", "place", "passage", "pos").mapInArrow(_repeated, _REPEATED)
-    cover = written(repeated.repartition("passage").sortWithinPartitions("passage", "pos").mapInArrow(lambda b: _covering(b, n), _REPEATED), "cover")
+    windows = passages.select("passage", "place", "part", "text").mapInArrow(lambda b: _window_rows(b, n), _WINDOW)
+    owned = windows.repartition("window").sortWithinPartitions("window", "place", "passage", "pos").mapInArrow(_owned, _OWNED)
+    cover = _covering(n)
+    cover_of = owned.groupBy("its_part").cogroup(passages.select("part", "passage", "place", "text").groupBy("part"))
+    covered = written(cover_of.applyInArrow(lambda x, y: cover(x, y), "passage long, owner long, owner_pos int, owner_place long"), "cover")
 
-    wanted = cover.select("owner", "owner_pos").distinct().groupBy("owner").agg(F.collect_list("owner_pos").alias("positions"))
+    wanted = covered.select("owner", "owner_pos").distinct().groupBy("owner").agg(F.collect_list("owner_pos").alias("positions"))
     texts = passages.join(wanted, F.col("passage") == F.col("owner")).select("passage", "text", "positions")
     texts = texts.mapInArrow(_phrase_texts(n), "owner long, owner_pos int, phrase string")
-    shards = max(1, -(-cover.count() // SHARD))
+    shards = max(1, -(-covered.count() // SHARD))
     shard = F.pmod(F.xxhash64("passage"), F.lit(shards)).alias("shard")
-    sent = cover.join(texts, ["owner", "owner_pos"]).select(shard, "phrase", "owner_place").distinct()
-    streamed = passages.join(cover.select("passage").distinct(), "passage", "left_semi").select(shard.alias("its_shard"), "key", "place", "start", "text")
-    spans = sent.groupBy("shard").cogroup(streamed.groupBy("its_shard")).applyInPandas(lambda p, s: _located(n)(p, s), "key long, first long, last long")
-    return written(spans.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("spans")), "spans")
+    sent = covered.select(shard, "owner", "owner_pos", "owner_place").distinct().join(texts, ["owner", "owner_pos"]).select("shard", "phrase", "owner_place")
+    streamed = passages.join(covered.select("passage").distinct(), "passage", "left_semi").select(shard.alias("its_shard"), "h1", "h2", "place", "start", "text")
+    spans = sent.groupBy("shard").cogroup(streamed.groupBy("its_shard")).applyInPandas(lambda p, s: _located(n)(p, s), "h1 long, h2 long, first long, last long")
+    return written(spans.groupBy("h1", "h2").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("spans")), "spans")
 
 
-_PASSAGES = pa.list_(pa.struct([("start", pa.int32()), ("text", pa.string())]))
+_PASSAGES = pa.list_(pa.struct([("start", pa.int32()), ("text", pa.string()), ("part", pa.int64())]))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,13 +312,12 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary())], names=["row", "n_words", "n_removed", "kept"])
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ("doc_id",), n: int = N, k: int = K) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ("doc_id",), n: int = N, k: int = K, part_bytes: int = PART_BYTES) -> DataFrame:
     """row (the carried columns), n_words, n_removed, kept (the words that stay, joined by a blank, UTF-8)."""
-    spans = repeated_spans(docs, id_col=id_col, text_col=text_col, n=n, k=k)
-    spans = F.broadcast(spans) if spans.count() <= BROADCAST_ROWS else spans
-    key = F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("key")
+    spans = repeated_spans(docs, id_col=id_col, text_col=text_col, n=n, k=k, part_bytes=part_bytes)
+    key = identity(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("key")
     own = docs.select(F.struct(*(F.col(f"`{c}`") for c in carry)).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"), key)
-    own = own.join(spans, "key", "left").select("row", "text", "spans")
+    own = own.select("row", "text", "key.*").join(few(spans), ["h1", "h2"], "left").select("row", "text", "spans")
     schema = own.select("row").withColumns({"n_words": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long"), "kept": F.lit(b"")}).schema
     return own.mapInArrow(_cut, schema)
 

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.arrow import map_texts
+from tidemark.llm.store import shared
 
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 512
@@ -132,7 +133,7 @@ def count_tokens(docs: DataFrame, *, text_col: str = "text", carry: Sequence[str
     """row (the carried columns), n_bytes, n_tokens.  path: a byte-level BPE vocabulary of the tokenizers library whose
     pre-tokenizer cuts by `pattern`."""
     path = path or public_tokenizers.path(VOCABULARY)
-    model = docs.sparkSession.sparkContext.broadcast((path, pattern, *proof(path, pattern)))
+    model = shared(docs.sparkSession, (path, pattern, *proof(path, pattern)))
 
     def make():
         count = _counter(*model.value).count

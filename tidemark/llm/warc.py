@@ -26,15 +26,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.store import new_path, written
+from tidemark.llm.store import few, new_path, written
 
 SEP = "\r\n\r\n"
 CHUNK = 1 << 20
 DATE = "2024-01-01T00:00:00Z"
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8" + SEP
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-#: An index of duplicated payloads up to so many entries is broadcast (about 100 bytes each); a longer one is joined by shuffle.
-BROADCAST_ROWS = 50_000
 
 
 def base32_sha1(data: Column) -> Column:
@@ -50,7 +48,7 @@ def records(pages: DataFrame, *, id_col: str, url_col: str, payload_col: str, mi
     own = own.withColumn("bytes", F.octet_length("payload").cast("long")).withColumn("digest", base32_sha1(F.col("payload")))
     same = own.where(F.col("bytes") >= min_revisit_bytes).groupBy("digest", "bytes").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     same = written(same.where("n > 1 and first is not null").select(F.col("digest").alias("its_digest"), F.col("bytes").alias("its_bytes"), "first"), "equal-payloads")
-    index = F.broadcast(same) if same.count() <= BROADCAST_ROWS else same
+    index = few(same)
     own = own.join(index, (F.col("digest") == F.col("its_digest")) & (F.col("bytes") == F.col("its_bytes")), "left")
     own = own.withColumn("refers", F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first")))
     revisit = F.col("refers").isNotNull()
