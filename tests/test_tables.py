@@ -150,6 +150,7 @@ def test_packs(spark, tmp_path):
     assert {(r["tag_id"], tuple(r["post_ids"])) for r in found.collect()} == {(1, (0, 5, 300)), (257, (7,)), (2, ())} and checks.pack_faults(found).isEmpty()
     assert not checks.pack_faults(found.withColumn("gap", F.lit(1).cast("long"))).isEmpty()
     (tmp_path / "shard_0001.pack").write_bytes(pack[:-1])
+    (tmp_path / ".shard_0001.pack.crc").unlink()
     with pytest.raises(Exception, match="beyond its pack"):
         sinks.read_packs(spark, str(tmp_path)).collect()
 
