@@ -11,8 +11,8 @@ stage's result must be written before the next stage is called: what a stage hol
 released when the next one begins.
 
 Defined results, in every stage: nulls in any column are carried as they are.  A null or empty text has no language and leaves
-in the first stage; given to a later stage alone it stays, is no near duplicate, is not contaminated, has no secrets and has
-size 0, so the mix takes none of it.  Rows without an id pass like others, and stand after those with an id in near_duplicates;
+in the first stage; given to a later stage alone it stays, is no near duplicate, is not contaminated, has no secrets and, as
+it has size 0, is mixed as often as its source is taken whole, at no words.  Rows without an id pass like others, and stand after those with an id in near_duplicates;
 without a source they are a source of their own.  Repeated rows are near duplicates of each other, one stays; in the other
 stages each is judged alike.  Ties go to the least id, then to the least hash of the row.  Texts of any length are read whole.
 An empty table gives an empty result.
