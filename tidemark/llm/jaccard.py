@@ -6,8 +6,8 @@
    all texts, in blocks of a few thousand, whose frequent shingles are added up; any order gives the same links.
 3. Two sets can only be similar enough if their first few shingles in an order (the prefix) have one in common.  Prefix
    shingles are shuffled once and streamed in order: up to SMALL sets that share one are paired if size and position
-   allow it.  Where more share one, each is paired with the first CENTRES, the sets of fewest rare shingles.  A shingle that
-   more than CROWD texts have is dealt to several tasks, each of which streams a part of its sets.
+   allow it.  Where more share one, each is paired with the first CENTRES, the sets of fewest rare shingles, which are the same
+   for most shingles of a crowd, so the pairs of a crowd are few.
 4. Candidates must also have common prefix shingles in the other orders.  Only those that do are verified, on whole sets;
    pairs are dealt out by their neighbourhood, so sets move about once.  A job's sets are bounded in bytes: a neighbourhood
    of more is cut into a grid by both ends of its pairs, and a cell of the grid that is still too large by pairs.
@@ -44,7 +44,7 @@ CENTRES = 3
 BLOCK, OFTEN = 1 << 22, 4
 #: frequent shingles that the order knows (8 bytes each, broadcast); others are ordered by hash alone
 FREQUENT = 1 << 18
-#: texts, or sets, of one shingle that are streamed through one task
+#: sets of one shingle that are compared across groups in one block
 CROWD = 2048
 #: shingles of all pairs' sets in a job (8 bytes each), each pair counted as OWN more
 JOB, OWN = 1 << 21, 256
@@ -131,21 +131,12 @@ def _signed(batches: Iterator[pa.RecordBatch], k: int, schema: pa.Schema) -> Ite
         yield from frequent()
 
 
-def _salts(tokens: np.ndarray, sig: bytes, frequent: np.ndarray, often: np.ndarray, crowd: int) -> np.ndarray:
-    """By token: the part of its sets that this one belongs to; -1 where a token's sets are not parted."""
-    if not len(frequent):
-        return np.full(len(tokens), -1, np.int32)
-    at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
-    parts = np.where(frequent[at] == tokens, -(-often[at] // crowd), 1)
-    return np.where(parts > 1, int.from_bytes(sig[:7], "little") % parts, -1).astype(np.int32)
-
-
-def _prefixes(batches: Iterator[pa.RecordBatch], k: int, rule: Rule, crowd: int, frequent: np.ndarray, often: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """token, salt, sig, n, place, rare of the first order's prefixes; equal texts of a task give theirs once."""
-    names = ["token", "salt", "sig", "n", "place", "rare"]
+def _prefixes(batches: Iterator[pa.RecordBatch], k: int, rule: Rule, frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """token, sig, n, place, rare of the first order's prefixes; equal texts of a task give theirs once."""
+    names = ["token", "sig", "n", "place", "rare"]
     seen: set[bytes] = set()
     for batch in batches:
-        tokens, salts, sigs, ns, places, rares, held = [], [], [], [], [], [], 0
+        tokens, sigs, ns, places, rares, held = [], [], [], [], [], 0
         for s in _texts(batch.column(0), k):
             sig = signature(s)
             if sig is None or rule.alone(len(s)) or sig in seen:
@@ -155,23 +146,22 @@ def _prefixes(batches: Iterator[pa.RecordBatch], k: int, rule: Rule, crowd: int,
             in_order, rare = ordered(s, 0, frequent)
             p = rule.prefix(len(s))
             tokens.append(in_order[:p])
-            salts.append(_salts(in_order[:p], sig, frequent, often, crowd))
             sigs.append(sig)
             ns.append(len(s))
             rares.append(rare)
             places.append(p)
             held += p
             if held > 1 << 17:
-                yield _dealt(names, tokens, salts, sigs, ns, places, rares)
-                tokens, salts, sigs, ns, places, rares, held = [], [], [], [], [], [], 0
+                yield _dealt(names, tokens, sigs, ns, places, rares)
+                tokens, sigs, ns, places, rares, held = [], [], [], [], [], 0
         if tokens:
-            yield _dealt(names, tokens, salts, sigs, ns, places, rares)
+            yield _dealt(names, tokens, sigs, ns, places, rares)
 
 
-def _dealt(names: list[str], tokens: list, salts: list, sigs: list, ns: list, counts: list, rares: list) -> pa.RecordBatch:
+def _dealt(names: list[str], tokens: list, sigs: list, ns: list, counts: list, rares: list) -> pa.RecordBatch:
     of = np.repeat(np.arange(len(counts)), counts)
     places = np.concatenate([np.arange(c, dtype=np.int32) for c in counts])
-    columns = [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(salts)), pa.array(sigs, pa.binary()).take(pa.array(of)), pa.array(np.array(ns, np.int32)[of]), pa.array(places), pa.array(np.array(rares, np.int32)[of])]
+    columns = [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(sigs, pa.binary()).take(pa.array(of)), pa.array(np.array(ns, np.int32)[of]), pa.array(places), pa.array(np.array(rares, np.int32)[of])]
     return pa.RecordBatch.from_arrays(columns, names=names)
 
 
@@ -179,31 +169,31 @@ _STREAMED = "token long, a binary, b binary, n int, place int"
 
 
 def _streamed(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
-    """From prefix rows in the order of token, salt, rare, n, sig: pairs (a, b, and in n the sum of their sizes), and the rows
-    of tokens that more than SMALL sets have, or whose sets are parted (a, with b null)."""
+    """From prefix rows in the order of token, rare, n, sig: pairs (a, b, and in n the sum of their sizes), and the rows of
+    tokens that more than SMALL sets have (a, with b null)."""
     names = [x.split()[0] for x in _STREAMED.split(", ")]
     head: dict[str, np.ndarray] = {}  # the first SMALL rows of the last token so far
     count, last = 0, None  # its rows so far, and the last one's set
     for batch in batches:
-        token, salt = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)
-        sig = np.array(batch.column(2).to_pylist(), object)
-        n, place = batch.column(3).to_numpy().astype(np.int64), batch.column(4).to_numpy().astype(np.int64)
+        token = batch.column(0).to_numpy()
+        sig = np.array(batch.column(1).to_pylist(), object)
+        n, place = batch.column(2).to_numpy().astype(np.int64), batch.column(3).to_numpy().astype(np.int64)
         if not len(token):
             continue
         carried = 0
         before = 0
-        if count and token[0] == head["token"][0] and salt[0] == head["salt"][0]:
+        if count and token[0] == head["token"][0]:
             carried, before = len(head["token"]), count
-            token, salt, sig, n, place = (np.concatenate([head[x], y]) for x, y in (("token", token), ("salt", salt), ("sig", sig), ("n", n), ("place", place)))
+            token, sig, n, place = (np.concatenate([head[x], y]) for x, y in (("token", token), ("sig", sig), ("n", n), ("place", place)))
         keep = np.ones(len(token), bool)
-        keep[1:] = (token[1:] != token[:-1]) | (salt[1:] != salt[:-1]) | (sig[1:] != sig[:-1])
+        keep[1:] = (token[1:] != token[:-1]) | (sig[1:] != sig[:-1])
         if carried:
             keep[:carried] = True
             keep[carried] = last != sig[carried]
         at = np.flatnonzero(keep)
-        token, salt, sig, n, place = token[at], salt[at], sig[at], n[at], place[at]
+        token, sig, n, place = token[at], sig[at], n[at], place[at]
         new = at >= carried
-        start = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])]))
+        start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         index = np.arange(len(token)) - np.repeat(start, np.diff(np.append(start, len(token))))
         if before > carried:  # the token's rows beyond its head went by earlier
             first_run = int(start[1]) if len(start) > 1 else len(token)
@@ -228,9 +218,8 @@ def _streamed(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.Reco
             pair(begin[far] + c, far)
         x, y = np.concatenate(left), np.concatenate(right)
         # rows of tokens that have more than SMALL: those beyond, and their first ones when the first beyond comes
-        whole = far[salt[far] < 0]
-        opened = whole[index[whole] == SMALL]
-        hot = np.concatenate([whole, *(begin[opened] + c for c in range(SMALL)), row[new & (salt >= 0)]]).astype(np.int64)
+        opened = far[index[far] == SMALL]
+        hot = np.concatenate([far, *(begin[opened] + c for c in range(SMALL))]).astype(np.int64)
         if len(x) + len(hot):
             a = np.where([p < q for p, q in zip(sig[x], sig[y], strict=True)], sig[x], sig[y]) if len(x) else sig[:0]
             b = np.where([p < q for p, q in zip(sig[x], sig[y], strict=True)], sig[y], sig[x]) if len(x) else sig[:0]
@@ -246,7 +235,7 @@ def _streamed(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.Reco
             )
         s = start[-1]
         count, last = int(index[-1]) + 1, sig[-1]
-        head = {k: v[s : s + SMALL] for k, v in (("token", token), ("salt", salt), ("sig", sig), ("n", n), ("place", place))}
+        head = {k: v[s : s + SMALL] for k, v in (("token", token), ("sig", sig), ("n", n), ("place", place))}
 
 
 def _across(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
@@ -369,13 +358,10 @@ class Join:
         every = [F.col(f"`{c}`") for c in docs.columns]
         self._keyed = docs.select(F.struct(*every).alias("row"), key.alias("key"), identity(*every).alias("whole"))
         often = table.where("token is not null").groupBy("token").agg(F.sum("often").alias("often")).orderBy(F.desc("often"), "token").limit(FREQUENT)
-        known = often.toArrow()
-        tokens, counts = (known.column(i).to_numpy() for i in (0, 1))
-        in_order = np.argsort(tokens.view(np.uint64))
-        frequent = shared(spark, (tokens.view(np.uint64)[in_order], counts[in_order]))
+        frequent = shared(spark, np.sort(often.select("token").toArrow().column(0).to_numpy().view(np.uint64)))
 
-        prefixes = docs.select(text).mapInArrow(lambda rows: _prefixes(rows, words, rule, crowd, *frequent.value), "token long, salt int, sig binary, n int, place int, rare int")
-        dealt = prefixes.repartition("token", "salt").sortWithinPartitions("token", "salt", "rare", "n", "sig")
+        prefixes = docs.select(text).mapInArrow(lambda rows: _prefixes(rows, words, rule, frequent.value), "token long, sig binary, n int, place int, rare int")
+        dealt = prefixes.repartition("token").sortWithinPartitions("token", "rare", "n", "sig")
         streamed = written(dealt.mapInArrow(lambda rows: _streamed(rows, rule), _STREAMED), "candidates")
         pairs = written(streamed.where("b is not null").select("a", "b", "n").distinct(), "pairs")
         crowded = streamed.where("b is null").select("token", F.col("a").alias("sig"), "n", "place")
