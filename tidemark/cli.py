@@ -203,7 +203,7 @@ def similar_tags(spark: SparkSession, c: Settings, name: str, k: int = 10) -> li
         return [f"maybe {x}" for x in near] or [f"nothing is like {name!r}"]
     rows = vectors.similar_tags(_read(spark, c, "tag2vec"), found[0], k, _read(spark, c, "tag2vec_knn"))
     rows = rows.join(tables.read_tags(spark, c.at("tags.csv")).select(F.col("tag_id").alias("id"), "tag"), "id", "left")
-    return [f"{r['sim']:.4f} {r['id']} {r['tag']}" for r in rows.orderBy(F.desc("sim"), "id").collect()]
+    return [f"{r['sim']:.4f} {r['id']} {r['tag']}" for r in rows.where("sim is not null").orderBy(F.desc("sim"), "id").collect()]
 
 
 def similar_posts(spark: SparkSession, c: Settings, post_id: int, k: int = 10) -> list[str]:
