@@ -186,6 +186,23 @@ def test_arrays(spark, tmp_path, root):
     assert json.loads((tmp_path / "m.json").read_text()) == {"a": 1}
 
 
+def test_arrays_are_never_broadcast(spark, tmp_path, monkeypatch):
+    import numpy as np
+
+    n = 700_000  # the bytes of the files are below Spark's limit of a broadcast, their rows are not
+    monkeypatch.setattr(sinks, "ARRAY_PART", 300_000, raising=False)
+    columns = spark.range(n).select(((F.col("id") * 7919) % n).alias("id"), ((F.col("id") * 7919) % n % 5).alias("v"))
+    assert sinks.export_arrays(columns, str(tmp_path), {"id": "<i8", "v": "|i1"}) == n
+    assert np.array_equal(np.fromfile(tmp_path / "id.bin", "<i8"), np.arange(n))
+    its = {c: sinks.read_array(spark, str(tmp_path), c, t).withColumnRenamed("value", c) for c, t in (("id", "<i8"), ("v", "|i1"))}
+    both = its["id"].join(its["v"], "row")
+    assert "Broadcast" not in both._jdf.queryExecution().executedPlan().toString()
+    assert tuple(both.agg(F.count("*"), F.sum("row"), F.sum(F.when((F.col("row") != F.col("id")) | (F.col("v") != F.col("id") % 5), 1).otherwise(0))).first()) == (n, n * (n - 1) // 2, 0)
+    (tmp_path / "odd.bin").write_bytes(b"123")
+    with pytest.raises(Exception, match="whole numbers"):
+        sinks.read_array(spark, str(tmp_path), "odd", "<i2").collect()
+
+
 def test_parsed_ids(spark):
     df = spark.createDataFrame([("{3,1,1,2}",), ("{}",), ("",), ("{5, x ,4}",), (None,), ("{7",)], "s string")
     assert [r[0] for r in df.select(pools.parsed_ids(F.col("s"))).collect()] == [[1, 2, 3], [], [], [4, 5], None, []]

@@ -135,12 +135,20 @@ def read_roaring(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(unpack, "id long")
 
 
+#: rows of an array that reach the driver at once
+ARRAY_PART = 1 << 19
+#: values that a task hands on at once
+ARRAY_BATCH = 1 << 16
+
+
 def export_arrays(columns: DataFrame, folder: str, types: dict[str, str]) -> int:
     """A raw little-endian file of each column, aligned on the rows in the order of the first column; null is 0.
 
-    Executors turn their rows into bytes, the driver passes whole batches on.  Returns the number of rows."""
+    Executors turn their rows into bytes, the driver passes whole batches on; it holds two parts of about ARRAY_PART rows at
+    most.  Returns the number of rows."""
     names = list(types)
-    filled = columns.select(*(F.coalesce(F.col(c).cast("bigint"), F.lit(0).cast("bigint")).alias(c) for c in names)).orderBy(names[0])
+    filled = columns.select(*(F.coalesce(F.col(c).cast("bigint"), F.lit(0).cast("bigint")).alias(c) for c in names))
+    filled = filled.repartitionByRange(max(1, -(-filled.count() // ARRAY_PART)), names[0]).sortWithinPartitions(names[0])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,20 +167,25 @@ def export_arrays(columns: DataFrame, folder: str, types: dict[str, str]) -> int
 
 
 def read_array(spark: SparkSession, folder: str, column: str, type_: str) -> DataFrame:
-    """row, value of one exported array, read as records of fixed length."""
+    """row, value of one exported array, read as records of fixed length.
+
+    Rows are many times the bytes of a narrow array, so what Spark expects of the file's size says nothing about them: joins
+    are told to merge, never to broadcast."""
     size = np.dtype(type_).itemsize
     raw = spark.read.format("binaryFile").load(f"{folder}/{column}.bin").select("content")
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                data = content.as_py()
+                data = content.as_buffer()
                 if len(data) % size:
                     raise ValueError(f"{column} doesn't hold whole numbers of {size} bytes")
                 values = np.frombuffer(data, type_)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), pa.array(values.astype(np.int64))], names=["row", "value"])
+                for i in range(0, len(values), ARRAY_BATCH):
+                    part = values[i : i + ARRAY_BATCH]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(i, i + len(part))), pa.array(part.astype(np.int64))], names=["row", "value"])
 
-    return raw.mapInArrow(unpack, "row long, value long")
+    return raw.mapInArrow(unpack, "row long, value long").hint("merge")
 
 
 def row_map(df: DataFrame, id_col: str, first: int = 0) -> DataFrame:
