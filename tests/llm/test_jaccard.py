@@ -1,10 +1,13 @@
 import random
 import re
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import jaccard
+from tidemark.llm import jaccard, store
+from tidemark.llm.words import mix
 
 SCHEMA = "doc_id long, text string, n_shingles string, row string"
 
@@ -143,3 +146,59 @@ def test_long_texts(spark):
     near = [x if i % 600 else "changed" for i, x in enumerate(long)]
     rows = [(1, " ".join(long)), (2, " ".join(near)), (3, " ".join(long[:100_000]))]
     assert [c for _, _, c in joined(spark, rows)] == ["1", "1", "3"]
+
+
+def test_parities_never_part_what_is_similar():
+    r = np.random.default_rng(4)
+    rule = jaccard.Rule(90, 100)
+    similar = told_apart = unlike = 0
+    for _ in range(1500):
+        n = int(r.choice([1, 2, 9, 20, 31, 33, 100, 127, 129, 260, 511, 514, 1030]))
+        x = np.unique(mix(r.integers(0, 1 << 62, n).astype(np.uint64)))
+        own = int(r.integers(0, 1 + n // 4))
+        y = np.unique(np.concatenate([x[: n - own], mix(r.integers(0, 1 << 62, int(r.integers(0, 2 + own))).astype(np.uint64))]))
+        if not len(y):
+            continue
+        far = jaccard.differing(jaccard.parity(x), jaccard.parity(y))
+        assert far == jaccard.differing(jaccard.parity(y), jaccard.parity(x)) and far <= len(np.setxor1d(x, y))
+        if rule.holds(x, y):
+            similar += 1
+            assert far <= rule.apart(len(x) + len(y))
+        elif n > 100:
+            unlike += 1
+            told_apart += far > rule.apart(len(x) + len(y))
+    assert similar > 300 and unlike > 300 and told_apart > 0.8 * unlike
+
+
+@pytest.mark.parametrize("limit", [None, 0])
+def test_whole_sets_move_for_few_pairs_but_links(spark, monkeypatch, limit):
+    """Texts of similarity 0.8 share prefixes in every order, yet are no links.  With no table broadcast the result is the same."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    rows = []
+    for i in range(60):
+        w = [word() for _ in range(300)]
+        for at in (), (7,), (11, 60, 90, 120, 150, 180, 210, 240, 260, 280), (14, 30, 40, 75, 100, 130, 160, 190, 220, 250, 270, 290):
+            rows.append((len(rows), " ".join(word() if j in at else x for j, x in enumerate(w))))
+    if limit is not None:
+        monkeypatch.setattr(store, "BROADCAST_BYTES", limit)
+    kept, keep = [], jaccard.written
+
+    def written(df, label):
+        out = keep(df, label)
+        if label == "kept":
+            kept.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "written", written)
+    assert joined(spark, rows) == brute(rows)
+    assert kept[1] >= 60 and kept[0] <= 1.1 * kept[1]
+
+
+def test_sharing_looks_up_signatures_that_end_in_zero_bytes():
+    rule = jaccard.Rule(90, 100)
+    s = np.unique(mix(np.arange(100, dtype=np.uint64)))
+    rows = [(name, *(jaccard._MADE[c](s, rule).tobytes() for c in ("parity", "second", "third"))) for name in (b"a" * 15 + b"\0", b"\0" * 16)]
+    sets = pd.DataFrame(rows, columns=["sig", "parity", "second", "third"])
+    pairs = pd.DataFrame([(rows[0][0], rows[1][0], 200)], columns=["a", "b", "n"])
+    assert len(jaccard._sharing(rule, ["second", "third"])(pairs, sets)) == 1

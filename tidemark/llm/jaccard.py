@@ -8,9 +8,11 @@
    shingles are shuffled once and streamed in order: up to SMALL sets that share one are paired if size and position
    allow it.  Where more share one, each is paired with the first CENTRES, the sets of fewest rare shingles, which are the same
    for most shingles of a crowd, so the pairs of a crowd are few.
-4. Candidates must also have common prefix shingles in the other orders.  Only those that do are verified, on whole sets;
-   pairs are dealt out by their neighbourhood, so sets move about once.  A job's sets are bounded in bytes: a neighbourhood
-   of more is cut into a grid by both ends of its pairs, and a cell of the grid that is still too large by pairs.
+4. Candidates must also have common prefix shingles in the other orders, and parities (a bit or two for each shingle, see
+   `parity`) that differ in no more bits than similar sets may differ in shingles.  Only those that do are verified, on whole
+   sets, which are many times larger; pairs are dealt out by their neighbourhood, so sets move about once.  A job's sets are
+   bounded in bytes: a neighbourhood of more is cut into a grid by both ends of its pairs, and a cell of the grid that is
+   still too large by pairs.
 5. Where many sets share a prefix shingle, the pairs that are not yet in one connected group are taken as well, in a grid
    of blocks of CROWD sets, and pass 4 again: no link between different groups is lost, and links within a group need not be
    listed.  With `every_link` all
@@ -78,6 +80,10 @@ class Rule:
         """Least number of common shingles of sets of n and m."""
         return -(-self.num * (n + m) // (self.num + self.den))
 
+    def apart(self, both: int) -> int:
+        """Most shingles that only one of two similar sets has, whose sizes sum to `both`."""
+        return both - 2 * self.need(both, 0)
+
     def alone(self, n: int) -> bool:
         """Whether a set of n is similar enough to equal sets only."""
         return (n * self.den < self.num * (n + 1)) and ((n - 1) * self.den < self.num * n)
@@ -99,6 +105,29 @@ def ordered(s: np.ndarray, order: int, frequent: np.ndarray) -> tuple[np.ndarray
     return s[np.argsort(key, kind="stable")], rare
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """Bits, a power of two of them and at least two for each shingle, in bytes: each tells whether an odd number of shingles
+    fall on it.  A shingle that only one of two sets has changes one bit, so their parities differ in as many bits at most."""
+    bits = max(64, 1 << (2 * len(s) - 1).bit_length())
+    return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little")
+
+
+def differing(x: np.ndarray, y: np.ndarray) -> int:
+    """Bits in which two parities differ, the longer one folded to the other's length."""
+    if len(x) != len(y):
+        x, y = (np.bitwise_xor.reduce(p.reshape(-1, min(len(x), len(y))), axis=0) for p in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+#: what is made of a set for a job; prefixes are cut to half of each hash, which lets a pair more pass and never a pair less
+_MADE = {
+    "whole": lambda s, rule: s,
+    "parity": lambda s, rule: parity(s),
+    "second": lambda s, rule: ordered(s, 1, s[:0])[0][: rule.prefix(len(s))].astype(np.uint32),
+    "third": lambda s, rule: ordered(s, 2, s[:0])[0][: rule.prefix(len(s))].astype(np.uint32),
+}
+
+
 def _texts(column: pa.Array, k: int) -> Iterator[np.ndarray]:
     for _, _, data, offsets in pieces(column):
         yield from sets_of(split(data, offsets, BLANKS, LOWER), k)
@@ -272,12 +301,16 @@ def _across(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.Record
 
 
 def _sharing(rule: Rule, columns: Sequence[str]):
-    """Of a group's pairs, those whose prefixes have something in common in every order."""
+    """Of a group's pairs, those whose parities allow it and whose prefixes have something in common in every order."""
 
     def of(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
-        has = {s: [set(np.frombuffer(v, np.uint64).tolist()) for v in vs] for s, *vs in zip(sets["sig"], *(sets[c] for c in columns), strict=True)}
+        bits = {s: np.frombuffer(v, np.uint8) for s, v in zip(sets["sig"], sets["parity"], strict=True)}
+        near = [differing(bits[a], bits[b]) <= rule.apart(n) for a, b, n in zip(pairs["a"], pairs["b"], pairs["n"], strict=True)]
+        pairs = pairs.loc[near, ["a", "b", "n"]]
+        left = {*pairs["a"], *pairs["b"]}  # isin would drop zero bytes at a signature's end
+        has = {s: [set(np.frombuffer(v, np.uint32).tolist()) for v in vs] for s, *vs in zip(sets["sig"], *(sets[c] for c in columns), strict=True) if s in left}
         keep = [all(not x.isdisjoint(y) for x, y in zip(has[a], has[b], strict=True)) for a, b in zip(pairs["a"], pairs["b"], strict=True)]
-        return pairs.loc[keep, ["a", "b", "n"]]
+        return pairs.loc[keep]
 
     return of
 
@@ -321,12 +354,11 @@ def _jobs(pairs: DataFrame) -> DataFrame:
 
 
 def _judged(pairs: DataFrame, bring, columns: Sequence[str], judge) -> DataFrame:
-    """Pairs that judge keeps, job by job; bring(sigs, columns) makes the sets' columns from the texts, and they move once, to
-    their jobs."""
+    """Pairs that judge keeps, job by job; bring(wanted, columns) makes the columns of the sets that jobs want from the texts,
+    and they move once, to their jobs."""
     dealt = _jobs(pairs)
     wanted = dealt.select("job", F.col("a").alias("sig")).unionByName(dealt.select("job", F.col("b").alias("sig"))).distinct()
-    wanted = written(wanted, "wanted")
-    brought = bring(wanted.select("sig"), columns).join(few(wanted), "sig").select("job", "sig", *columns)
+    brought = bring(few(written(wanted, "wanted")), columns)
     return written(dealt.withColumnRenamed("job", "its_job").groupBy("its_job").cogroup(brought.groupBy("job")).applyInPandas(lambda p, s: judge(p, s), _PAIR), "kept")
 
 
@@ -355,6 +387,7 @@ class Join:
 
         table = written(own.mapInArrow(signed, schema), "signatures")
         self.rows = table.where("r is not null").select("r.row", "r.id", "r.key", "n", "sig")
+        self._one = written(self.rows.where("sig is not null").groupBy("sig").agg(F.min("key").alias("key")), "one-of-each")
         every = [F.col(f"`{c}`") for c in docs.columns]
         self._keyed = docs.select(F.struct(*every).alias("row"), key.alias("key"), identity(*every).alias("whole"))
         often = table.where("token is not null").groupBy("token").agg(F.sum("often").alias("often")).orderBy(F.desc("often"), "token").limit(FREQUENT)
@@ -366,8 +399,8 @@ class Join:
         pairs = written(streamed.where("b is not null").select("a", "b", "n").distinct(), "pairs")
         crowded = streamed.where("b is null").select("token", F.col("a").alias("sig"), "n", "place")
 
-        def bring(sigs: DataFrame, columns: Sequence[str]) -> DataFrame:
-            return self._sets(docs.select(key.alias("key"), text), sigs, columns, words, rule)
+        def bring(wanted: DataFrame, columns: Sequence[str]) -> DataFrame:
+            return self._sets(docs.select(key.alias("key"), text), wanted, columns, words, rule)
 
         self._bring = bring
         links = self._verified(pairs, rule)
@@ -390,12 +423,11 @@ class Join:
             groups = components(links)
         self.links, self.groups = links, groups
 
-    def _sets(self, texts: DataFrame, sigs: DataFrame, columns: Sequence[str], words: int, rule: Rule) -> DataFrame:
-        """sig and columns of the sets in sigs, from the text of one row of each class: `whole`, or the other orders'
-        prefixes `second` and `third`.  Of equal rows a task makes the columns once."""
-        rep = self.rows.where("sig is not null").groupBy("sig").agg(F.min("key").alias("key"))
-        wanted = few(written(rep.join(sigs.distinct(), "sig", "left_semi").select("key").distinct(), "wanted-keys"))
-        made = {"whole": lambda s: s, "second": lambda s: ordered(s, 1, s[:0])[0][: rule.prefix(len(s))], "third": lambda s: ordered(s, 2, s[:0])[0][: rule.prefix(len(s))]}
+    def _sets(self, texts: DataFrame, wanted: DataFrame, columns: Sequence[str], words: int, rule: Rule) -> DataFrame:
+        """job, sig and columns (of `_MADE`) of the sets in wanted (job, sig), from the text of one row of each class.  Of equal
+        rows a task makes the columns once."""
+        jobs = self._one.join(wanted, "sig").groupBy("key").agg(F.collect_list("job").alias("jobs"))
+        jobs = few(written(jobs, "wanted-keys"))
 
         def make():
             seen: set[bytes] = set()
@@ -404,7 +436,7 @@ class Join:
                 out: list[list] = [[] for _ in range(1 + len(columns))]
                 for s in _texts(batch, words):
                     sig = signature(s)
-                    values = [None] * len(out) if sig in seen else [sig, *(made[c](s).tobytes() for c in columns)]
+                    values = [None] * len(out) if sig in seen else [sig, *(_MADE[c](s, rule).tobytes() for c in columns)]
                     if len(seen) < 1 << 17:
                         seen.add(sig)
                     for column, value in zip(out, values, strict=True):
@@ -413,11 +445,11 @@ class Join:
 
             return of
 
-        found = map_texts(texts.join(wanted, "key", "left_semi"), "text", ["key"], make, ", ".join(f"{c} binary" for c in ["sig", *columns]))
-        return found.where("sig is not null").drop("row")
+        found = map_texts(texts.join(jobs, "key"), "text", ["jobs"], make, ", ".join(f"{c} binary" for c in ["sig", *columns]))
+        return found.where("sig is not null").select(F.explode("row.jobs").alias("job"), "sig", *columns)
 
     def _verified(self, pairs: DataFrame, rule: Rule) -> DataFrame:
-        sharing = _judged(pairs, self._bring, ["second", "third"], _sharing(rule, ["second", "third"]))
+        sharing = _judged(pairs, self._bring, ["parity", "second", "third"], _sharing(rule, ["second", "third"]))
         return _judged(sharing, self._bring, ["whole"], _similar(rule))
 
     def classes(self) -> DataFrame:
